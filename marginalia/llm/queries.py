@@ -6,17 +6,41 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from marginalia.llm import substring
+from marginalia.llm import jaccard, lines, mixing, quality, sharding, substring
 from marginalia.llm.common import documents
 
+#: Token weights that the mixture aims at: sources flattened a little, languages a little more.
+MIXTURE = {"source": 0.9, "lang": 0.85}
+
 
 def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring.repeated_spans(documents(spark, sf_dir))
 
 
+def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shard(documents(spark, sf_dir))
+
+
+def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.rates(documents(spark, sf_dir), MIXTURE).select("doc_id", "tokens", "rate", "copies")
+
+
+def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.repeated_lines(documents(spark, sf_dir)).select("doc_id", "line_no", "kept_doc_id", "kept_line_no")
+
+
+def op8_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.ngram_jaccard_pairs(documents(spark, sf_dir))
+
+
+def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    return quality.scored(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")).where("kept").select("doc_id", "lang", "score", "threshold")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_substring_dedup,)}
+    return {f.__name__: f for f in (op1_substring_dedup, op4_sharding, op5_mixing, op6_line_dedup, op8_ngram_jaccard_join, op10_quality_rules)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_substring_dedup": substring.ORACLE}
+    return {"op1_substring_dedup": substring.ORACLE, "op6_line_dedup": lines.ORACLE}
