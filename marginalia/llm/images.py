@@ -1,0 +1,323 @@
+"""Copies among images, cropped, turned or edited: local descriptors, hash tables, geometric consensus."""
+
+from __future__ import annotations
+
+import math
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from marginalia.llm.common import partitions, written
+
+BITS, MARGIN, SCALES = 256, 13, (1.0, 0.75, 0.5625)
+_RING = [(0, -3), (1, -3), (2, -2), (3, -1), (3, 0), (3, 1), (2, 2), (1, 3), (0, 3), (-1, 3), (-2, 2), (-3, 1), (-3, 0), (-3, -1), (-2, -2), (-1, -3)]
+_ARC = np.array([any(all(m >> (i + j) % 16 & 1 for j in range(9)) for i in range(16)) for m in range(65536)])
+_rng = np.random.default_rng(90210)
+_TESTS = np.clip(_rng.normal(0, 4.2, (BITS, 2, 2)), -8.5, 8.5)
+_TURNS = 36
+_ANGLES = np.arange(_TURNS) * 2 * np.pi / _TURNS
+#: For each turn the (y, x) offsets of both points of every test.
+_PATTERN = np.rint(np.stack([np.stack([_TESTS[..., 0] * np.sin(a) + _TESTS[..., 1] * np.cos(a), _TESTS[..., 0] * np.cos(a) - _TESTS[..., 1] * np.sin(a)], -1) for a in _ANGLES])).astype(np.int64)
+_DISC = [(y, x) for y in range(-7, 8) for x in range(-7, 8) if x * x + y * y <= 49]
+_DY, _DX = (np.array([p[i] for p in _DISC]) for i in (0, 1))
+_POINT = "media_id long, point int, y float, x float, scale float, angle float, bits binary"
+
+
+def decode_image(data: bytes | None) -> np.ndarray | None:
+    """Grey levels of a binary PGM or PPM file of 8 bits; None for anything else."""
+    if not data or data[:2] not in (b"P5", b"P6"):
+        return None
+    fields, at = [], 2
+    try:
+        while len(fields) < 3:
+            while data[at : at + 1].isspace():
+                at += 1
+            if data[at : at + 1] == b"#":
+                at = data.index(b"\n", at)
+                continue
+            end = at
+            while data[end : end + 1].isdigit():
+                end += 1
+            fields.append(int(data[at:end]))
+            at = end
+        w, h, most = fields
+        planes = 3 if data[1:2] == b"6" else 1
+        if not 0 < most < 256 or not w or not h:
+            return None
+        px = np.frombuffer(data, np.uint8, w * h * planes, at + 1).reshape(h, w, planes)
+    except ValueError:
+        return None
+    return px[..., 0] if planes == 1 else (px @ np.array([0.299, 0.587, 0.114])).astype(np.uint8)
+
+
+def encode_image(grey: np.ndarray) -> bytes:
+    return b"P5\n%d %d\n255\n" % grey.shape[::-1] + np.ascontiguousarray(grey, np.uint8).tobytes()
+
+
+def resize(batch: np.ndarray, h: int, w: int) -> np.ndarray:
+    """Bilinear resampling of a stack of images."""
+    if batch.shape[1:] == (h, w):
+        return batch
+    y, x = ((np.arange(n) + 0.5) * (m / n) - 0.5 for n, m in ((h, batch.shape[1]), (w, batch.shape[2])))
+    y, x = np.clip(y, 0, batch.shape[1] - 1), np.clip(x, 0, batch.shape[2] - 1)
+    y0, x0 = np.minimum(y.astype(int), batch.shape[1] - 2), np.minimum(x.astype(int), batch.shape[2] - 2)
+    fy, fx = (y - y0)[:, None].astype(np.float32), (x - x0).astype(np.float32)
+    rows = batch[:, y0] * (1 - fy) + batch[:, y0 + 1] * fy
+    return rows[:, :, x0] * (1 - fx) + rows[:, :, x0 + 1] * fx
+
+
+def _blur(batch: np.ndarray) -> np.ndarray:
+    """A 5 x 5 box mean."""
+    pad = np.pad(batch.astype(np.float32), ((0, 0), (3, 2), (3, 2)), mode="edge")
+    s = pad.cumsum(1).cumsum(2)
+    return (s[:, 5:, 5:] - s[:, :-5, 5:] - s[:, 5:, :-5] + s[:, :-5, :-5]) / 25
+
+
+def corners(batch: np.ndarray, contrast: int) -> np.ndarray:
+    """Scores of corners (nine pixels in a row on a ring, all lighter or all darker) that are the largest around; elsewhere 0."""
+    n, h, w = batch.shape
+    out = np.zeros((n, h, w), np.int32)
+    if h <= 2 * MARGIN or w <= 2 * MARGIN:
+        return out
+    mid = batch[:, 3 : h - 3, 3 : w - 3].astype(np.int16)
+    light = np.zeros(mid.shape, np.uint16)
+    dark = np.zeros(mid.shape, np.uint16)
+    score = np.zeros(mid.shape, np.int16)
+    for i, (dx, dy) in enumerate(_RING):
+        d = batch[:, 3 + dy : h - 3 + dy, 3 + dx : w - 3 + dx].astype(np.int16) - mid
+        light |= (d > contrast).astype(np.uint16) << np.uint16(i)
+        dark |= (d < -contrast).astype(np.uint16) << np.uint16(i)
+        score += np.abs(d)
+    found = _ARC[light] | _ARC[dark]
+    out[:, 3 : h - 3, 3 : w - 3] = np.where(found, score, 0)
+    top = out.copy()
+    for axis in (1, 2):
+        a = np.maximum(np.roll(top, 1, axis), np.roll(top, -1, axis))
+        top = np.maximum(top, a)
+    out[out < top] = 0
+    out[:, :MARGIN], out[:, h - MARGIN :], out[:, :, :MARGIN], out[:, :, w - MARGIN :] = 0, 0, 0, 0
+    return out
+
+
+def describe(batch: np.ndarray, points: int, contrast: int) -> tuple[np.ndarray, ...]:
+    """(image, y, x, scale, angle, bits) of the strongest corners of each image of a stack, in the images' own coordinates."""
+    found = []
+    for scale in SCALES:
+        h, w = (int(round(s * scale)) for s in batch.shape[1:])
+        if min(h, w) <= 2 * MARGIN:
+            continue
+        small = np.rint(resize(batch.astype(np.float32), h, w)).astype(np.int16)
+        score = corners(small, contrast)
+        img, y, x = np.nonzero(score)
+        smooth = _blur(small)
+        patch = smooth[img[:, None], y[:, None] + _DY, x[:, None] + _DX]
+        angle = np.arctan2(patch @ _DY.astype(np.float32), patch @ _DX.astype(np.float32))
+        found.append((img, y, x, np.full(len(img), scale, np.float32), angle, score[img, y, x], smooth))
+    if not found:
+        return tuple(np.zeros(0) for _ in range(6))
+    img, scale, strength = (np.concatenate([f[i] for f in found]) for i in (0, 3, 5))
+    level = np.repeat(np.arange(len(found)), [len(f[0]) for f in found])
+    ry, rx, angle = (np.concatenate([f[i] for f in found]) for i in (1, 2, 4))
+    order = np.lexsort((rx, ry, level, -strength, img))
+    rank = np.arange(len(order)) - np.searchsorted(img[order], img[order])
+    keep = order[rank < points]
+    img, scale, level, ry, rx, angle = img[keep], scale[keep], level[keep], ry[keep], rx[keep], angle[keep]
+    bits = np.zeros((len(keep), BITS // 8), np.uint8)
+    turn = np.rint(angle / (2 * np.pi / _TURNS)).astype(int) % _TURNS
+    for i, f in enumerate(found):
+        at = np.flatnonzero(level == i)
+        for part in np.array_split(at, max(1, len(at) // 4096)):
+            p = _PATTERN[turn[part]]
+            values = f[6][img[part][:, None, None], ry[part][:, None, None] + p[..., 0], rx[part][:, None, None] + p[..., 1]]
+            bits[part] = np.packbits(values[..., 0] < values[..., 1], axis=1)
+    return img, (ry + 0.5) / scale, (rx + 0.5) / scale, scale, angle, bits
+
+
+def keypoints(media: DataFrame, points: int = 40, contrast: int = 18) -> DataFrame:
+    """(media_id, point, y, x, scale, angle, bits): the strongest corners over three scales, and their oriented binary tests."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lo in range(0, batch.num_rows, 256):
+                part = batch.slice(lo, 256)
+                shapes: dict[tuple[int, int], list] = {}
+                for media_id, data in zip(part.column("media_id").to_pylist(), part.column("content")):
+                    grey = decode_image(data.as_py())
+                    if grey is not None:
+                        shapes.setdefault(grey.shape, []).append((media_id, grey))
+                for own in shapes.values():
+                    step = max(1, 2_400_000 // own[0][1].size)  # pixels at a time; one large image is alone
+                    for i in range(0, len(own), step):
+                        some = own[i : i + step]
+                        img, y, x, scale, angle, bits = describe(np.stack([g for _, g in some]), points, contrast)
+                        if len(img):
+                            point = np.arange(len(img)) - np.searchsorted(img, img)
+                            yield pa.RecordBatch.from_arrays(
+                                [pa.array(np.array([m for m, _ in some], np.int64)[img]), pa.array(point, pa.int32()), *(pa.array(v.astype(np.float32)) for v in (y, x, scale, angle)), pa.array([b.tobytes() for b in bits], pa.binary())],
+                                ["media_id", "point", "y", "x", "scale", "angle", "bits"],
+                            )
+
+    return media.select(F.col("media_id").cast("long").alias("media_id"), "content").where("media_id IS NOT NULL AND content IS NOT NULL").mapInArrow(run, _POINT)
+
+
+def _tables(width: int):
+    """Each descriptor once for each of its disjoint stretches of width bits, with 64 bits by which matches are told from chance."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            raw = np.frombuffer(b"".join(batch.column("bits").to_pylist()), np.uint8).reshape(-1, BITS // 8)
+            bits = np.unpackbits(raw, axis=1)
+            near = np.ascontiguousarray(np.packbits(bits[:, ::4], axis=1)).view(">i8").ravel().astype(np.int64)
+            place = np.stack([batch.column(c).to_numpy() for c in ("y", "x", "scale", "angle")], 1)
+            packed = pa.array([p.tobytes() for p in place.astype(np.float16)], pa.binary())
+            weight = 1 << np.arange(width, dtype=np.int64)
+            for t in range(BITS // width):
+                key = bits[:, t * width : (t + 1) * width].astype(np.int64) @ weight + (t << width)
+                yield pa.RecordBatch.from_arrays([pa.array(key), batch.column("media_id"), batch.column("point"), pa.array(near), packed], ["key", "media_id", "point", "near", "place"])
+
+    return run
+
+
+def consensus(a: np.ndarray, b: np.ndarray, point_a: np.ndarray, point_b: np.ndarray, within: float) -> tuple[int, float, float]:
+    """Of the similarity transforms that single matches propose, the one that most matches agree with: (points that agree, zoom, turn).
+
+    a, b: (y, x, scale, angle) of each match.
+    """
+    zoom = a[:, 2] / b[:, 2]  # a corner at a finer level of a is smaller there
+    turn = b[:, 3] - a[:, 3]
+    zoom = zoom[:, None] * np.array([1.0])
+    za = a[:, 1] + 1j * a[:, 0]
+    zb = b[:, 1] + 1j * b[:, 0]
+    best = (0, 1.0, 0.0)
+    n = len(za)
+    # Two matches give the transform: as exact as the places are.
+    i, j = np.triu_indices(n, 1)
+    far = (np.abs(za[i] - za[j]) >= 8) & (np.abs(zb[i] - zb[j]) >= 8)
+    i, j = i[far], j[far]
+    if not len(i):
+        return best
+    m = (zb[j] - zb[i]) / (za[j] - za[i])
+    size = np.abs(m)
+    # The proposed turn and zoom must be those of the matches' own orientation and scale.
+    off = np.abs(np.angle(m * np.exp(-1j * turn[i])))
+    fine = (off < 0.45) & (size > 0.4) & (size < 2.5)
+    i, m = i[fine], m[fine]
+    for lo in range(0, len(i), 2048):
+        k, q = i[lo : lo + 2048], m[lo : lo + 2048]
+        miss = np.abs(q[:, None] * (za[None, :] - za[k][:, None]) + zb[k][:, None] - zb[None, :]) <= within
+        count = miss.sum(1)
+        for at in np.argsort(-count, kind="stable")[:8]:
+            hit = miss[at]
+            own = min(len(np.unique(point_a[hit])), len(np.unique(point_b[hit])))
+            if own > best[0]:
+                best = (own, float(abs(q[at])), float(np.angle(q[at])))
+    return best
+
+
+def _consensus(least: int, within: float):
+    def judged(pair: tuple, rows: list) -> tuple | None:
+        uniq = list(dict.fromkeys(rows))
+        if len({r[0] for r in uniq}) < least or len({r[1] for r in uniq}) < least:
+            return None
+        a, b = (np.frombuffer(b"".join(r[i] for r in uniq), np.float16).reshape(-1, 4).astype(float) for i in (2, 3))
+        n, zoom, turn = consensus(a, b, np.array([r[0] for r in uniq]), np.array([r[1] for r in uniq]), within)
+        return (*pair, n, zoom, math.degrees(turn)) if n >= least else None
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pair, rows = None, []
+        names = ["media_a", "media_b", "points", "zoom", "turn"]
+        kinds = (pa.int64(), pa.int64(), pa.int32(), pa.float64(), pa.float64())
+
+        def batch_of(found: list) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([f[i] for f in found], k) for i, k in enumerate(kinds)], names)
+
+        for batch in batches:
+            found = []
+            for a, b, *row in zip(*(batch.column(c).to_pylist() for c in ("media_a", "media_b", "point_a", "point_b", "place_a", "place_b"))):
+                if (a, b) != pair:
+                    if rows and (x := judged(pair, rows)):
+                        found.append(x)
+                    pair, rows = (a, b), []
+                rows.append(tuple(row))
+            if found:
+                yield batch_of(found)
+        if rows and (x := judged(pair, rows)):
+            yield batch_of([x])
+
+    return run
+
+
+def image_copies(media: DataFrame, points: int = 40, contrast: int = 18, differ: int = 16, least: int = 6, within: float = 2.5) -> DataFrame:
+    """(media_a, media_b, points, zoom, turn): pairs of images that show the same, media_a < media_b.
+
+    media: media_id BIGINT and content BINARY (8-bit PGM or PPM files); other columns are not
+    read. Descriptors meet in hash tables of disjoint stretches of their bits, so wide that
+    chance fills a bucket of a table about half (their width follows the number of
+    descriptors); of those that meet, 64 bits may differ in at most `differ`. A pair of images is
+    given if a similarity transform (turn and zoom from media_a to media_b in degrees and as a factor)
+    maps `least` points or more of one to within `within` pixels of those of the other.
+
+    Rows without an id or content, files that are not such images, and images too small or
+    plain for corners are in no pair; rows that repeat an id are one image; an empty
+    table gives no rows.
+    """
+    spark = media.sparkSession
+    found = written(keypoints(media, points, contrast), "points")
+    n = found.count()
+    width = min(60, max(18, math.ceil(math.log2(n + 1)) + 1))
+    table = found.mapInArrow(_tables(width), "key long, media_id long, point int, near long, place binary")
+    a, b = (table.select("key", *[F.col(c).alias(f"{c.split('_')[0]}_{x}") for c in ("media_id", "point", "near", "place")]) for x in "ab")
+    hits = a.join(b, "key").where((F.col("media_a") < F.col("media_b")) & (F.bit_count(F.col("near_a").bitwiseXOR(F.col("near_b"))) <= differ))
+    rows = hits.select("media_a", "media_b", "point_a", "point_b", "place_a", "place_b")
+    return rows.repartition(2 * partitions(spark), "media_a", "media_b").sortWithinPartitions("media_a", "media_b").mapInArrow(_consensus(least, within), "media_a long, media_b long, points int, zoom double, turn double")
+
+
+def render(vectors: DataFrame, size: int = 96) -> DataFrame:
+    """Pictures drawn from embeddings, since the tables hold none: (media_id, content).
+
+    Each vec_id v gives media_id 2 v, a scene of overlapping boxes placed by a generator seeded
+    with the vector. Those of v divisible by 8 also give 2 v + 1, an edited copy: by turns
+    cropped, cropped and made darker with noise, turned by 20 degrees, or made smaller.
+    """
+
+    def scene(vector: list[float]) -> np.ndarray:
+        rng = np.random.default_rng(np.frombuffer(np.asarray(vector, np.float32).tobytes(), np.uint32).tolist())
+        img = np.full((size, size), 40 + rng.integers(0, 100), np.uint8)
+        y, x, h, w, v = (rng.integers(lo, hi, 26) for lo, hi in ((-8, size), (-8, size), (7, 34), (7, 34), (0, 256)))
+        for k in range(26):
+            img[max(0, y[k]) : y[k] + h[k], max(0, x[k]) : x[k] + w[k]] = v[k]
+        return img
+
+    def edit(img: np.ndarray, how: int, seed: int) -> np.ndarray:
+        rng = np.random.default_rng(seed)
+        if how < 2:
+            y, x = rng.integers(0, 20, 2)
+            img = img[y : y + 76, x : x + 76]
+            return img if how == 0 else np.clip(img * 0.8 + 10 + rng.normal(0, 3, img.shape), 0, 255).astype(np.uint8)
+        if how == 2:
+            a, c = math.radians(20), (size - 1) / 2
+            yy, xx = np.mgrid[:size, :size] - c
+            sy, sx = np.rint(yy * math.cos(a) - xx * math.sin(a) + c).astype(int), np.rint(yy * math.sin(a) + xx * math.cos(a) + c).astype(int)
+            return np.where((sy >= 0) & (sy < size) & (sx >= 0) & (sx < size), img[np.clip(sy, 0, size - 1), np.clip(sx, 0, size - 1)], 0)
+        return np.rint(resize(img[None].astype(np.float32), size * 3 // 4, size * 3 // 4))[0]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lo in range(0, batch.num_rows, 1000):
+                ids, data = [], []
+                part = batch.slice(lo, 1000)
+                for v, vector in zip(part.column("vec_id").to_pylist(), part.column("embedding").to_pylist()):
+                    img = scene(vector)
+                    ids.append(2 * v)
+                    data.append(encode_image(img))
+                    if v % 8 == 0:
+                        ids.append(2 * v + 1)
+                        data.append(encode_image(edit(img, v // 8 % 4, v)))
+                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(data, pa.binary())], ["media_id", "content"])
+
+    return vectors.select("vec_id", "embedding").where("vec_id IS NOT NULL AND embedding IS NOT NULL").mapInArrow(run, "media_id long, content binary")
