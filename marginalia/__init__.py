@@ -1 +1 @@
-"""Linked-note analytics on Spark DataFrames."""
+"""Queries and upkeep of linked Markdown notes on Spark."""
