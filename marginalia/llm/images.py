@@ -7,12 +7,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marginalia.llm.common import partitions, written
+from marginalia.llm.common import U64, mix, partitions, written
 
 BITS, MARGIN, SCALES = 256, 13, (1.0, 0.75, 0.5625)
+#: Descriptors that chance may bring together under one key of a table, whatever their number.
+MATES = 32
 _RING = [(0, -3), (1, -3), (2, -2), (3, -1), (3, 0), (3, 1), (2, 2), (1, 3), (0, 3), (-1, 3), (-2, 2), (-3, 1), (-3, 0), (-3, -1), (-2, -2), (-1, -3)]
 _ARC = np.array([any(all(m >> (i + j) % 16 & 1 for j in range(9)) for i in range(16)) for m in range(65536)])
 _rng = np.random.default_rng(90210)
@@ -163,22 +166,62 @@ def keypoints(media: DataFrame, points: int = 40, contrast: int = 18) -> DataFra
     return media.select(F.col("media_id").cast("long").alias("media_id"), "content").where("media_id IS NOT NULL AND content IS NOT NULL").mapInArrow(run, _POINT)
 
 
-def _tables(width: int):
-    """Each descriptor once for each of its disjoint stretches of width bits, with 64 bits by which matches are told from chance."""
+def _tables(width: int, buckets: int):
+    """Each descriptor once for each of its disjoint stretches of width bits, packed into one record for each bucket of keys."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pack = zstandard.ZstdCompressor(level=1)
         for batch in batches:
             if not batch.num_rows:
                 continue
             raw = np.frombuffer(b"".join(batch.column("bits").to_pylist()), np.uint8).reshape(-1, BITS // 8)
             bits = np.unpackbits(raw, axis=1)
-            near = np.ascontiguousarray(np.packbits(bits[:, ::4], axis=1)).view(">i8").ravel().astype(np.int64)
-            place = np.stack([batch.column(c).to_numpy() for c in ("y", "x", "scale", "angle")], 1)
-            packed = pa.array([p.tobytes() for p in place.astype(np.float16)], pa.binary())
-            weight = 1 << np.arange(width, dtype=np.int64)
-            for t in range(BITS // width):
-                key = bits[:, t * width : (t + 1) * width].astype(np.int64) @ weight + (t << width)
-                yield pa.RecordBatch.from_arrays([pa.array(key), batch.column("media_id"), batch.column("point"), pa.array(near), packed], ["key", "media_id", "point", "near", "place"])
+            near = np.ascontiguousarray(np.packbits(bits[:, ::4], axis=1)).view(np.int64).ravel()  # 64 bits by which matches are told from chance
+            place = np.stack([batch.column(c).to_numpy() for c in ("y", "x", "scale", "angle")], 1).astype(np.float16)
+            media = batch.column("media_id").to_numpy()
+            weight = U64(1) << np.arange(width, dtype=np.uint64)
+            keys = np.concatenate([mix(bits[:, t * width : (t + 1) * width].astype(np.uint64) @ weight + U64((t + 1) * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF)) for t in range(BITS // width)])
+            order = np.argsort(keys % U64(buckets), kind="stable")
+            home = (keys % U64(buckets))[order]
+            cut = np.flatnonzero(np.append(True, home[1:] != home[:-1]))
+            own = order % len(media)
+            for i, j in zip(cut.tolist(), np.append(cut[1:], len(order)).tolist()):
+                at = own[i:j]
+                body = b"".join(np.ascontiguousarray(x).tobytes() for x in (keys[order[i:j]], media[at], near[at], place[at]))
+                yield pa.RecordBatch.from_arrays([pa.array([int(home[i])], pa.int32()), pa.array([pack.compress(np.int32(j - i).tobytes() + body)], pa.binary())], ["bucket", "packed"])
+
+    return run
+
+
+def _meet(differ: int):
+    """Within a bucket: the pairs of descriptors of two images that have the same key and differ in few bits."""
+
+    def run(table: pa.Table) -> pa.Table:
+        unpack = zstandard.ZstdDecompressor()
+        parts: list[list[np.ndarray]] = [[], [], [], []]
+        for blob in table.column("packed").to_pylist():
+            raw = unpack.decompress(blob)
+            n, at = int(np.frombuffer(raw, np.int32, 1)[0]), 4
+            for x, kind in zip(parts, (np.uint64, np.int64, np.int64, np.int64)):  # a place is four halves, carried as one word
+                x.append(np.frombuffer(raw, kind, n, at))
+                at += 8 * n
+        key, media, near, place = (np.concatenate(x) for x in parts)
+        order = np.lexsort((media, key))
+        key, media, near, place = key[order], media[order], near[order], place[order]
+        first = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+        size = np.diff(np.append(first, len(key)))
+        ahead = np.repeat(first + size, size) - np.arange(len(key))  # rows of the same key from each on
+        left, right = [], []
+        live = np.arange(len(key))
+        d = 1
+        while len(live := live[ahead[live] > d]):
+            b = live + d
+            hit = (media[live] != media[b]) & (np.bitwise_count(near[live] ^ near[b]) <= differ)
+            left.append(live[hit])
+            right.append(b[hit])
+            d += 1
+        i, j = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (left, right))
+        return pa.table({"media_a": media[i], "media_b": media[j], "place_a": place[i], "place_b": place[j]})
 
     return run
 
@@ -224,8 +267,9 @@ def _consensus(least: int, within: float):
         uniq = list(dict.fromkeys(rows))
         if len({r[0] for r in uniq}) < least or len({r[1] for r in uniq}) < least:
             return None
-        a, b = (np.frombuffer(b"".join(r[i] for r in uniq), np.float16).reshape(-1, 4).astype(float) for i in (2, 3))
-        n, zoom, turn = consensus(a, b, np.array([r[0] for r in uniq]), np.array([r[1] for r in uniq]), within)
+        at = np.array(uniq, np.int64)
+        a, b = (np.ascontiguousarray(at[:, i]).view(np.float16).reshape(-1, 4).astype(float) for i in (0, 1))
+        n, zoom, turn = consensus(a, b, at[:, 0], at[:, 1], within)
         return (*pair, n, zoom, math.degrees(turn)) if n >= least else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -238,7 +282,7 @@ def _consensus(least: int, within: float):
 
         for batch in batches:
             found = []
-            for a, b, *row in zip(*(batch.column(c).to_pylist() for c in ("media_a", "media_b", "point_a", "point_b", "place_a", "place_b"))):
+            for a, b, *row in zip(*(batch.column(c).to_pylist() for c in ("media_a", "media_b", "place_a", "place_b"))):
                 if (a, b) != pair:
                     if rows and (x := judged(pair, rows)):
                         found.append(x)
@@ -252,12 +296,12 @@ def _consensus(least: int, within: float):
     return run
 
 
-def image_copies(media: DataFrame, points: int = 40, contrast: int = 18, differ: int = 16, least: int = 6, within: float = 2.5) -> DataFrame:
+def image_copies(media: DataFrame, points: int = 40, contrast: int = 18, differ: int = 10, least: int = 7, within: float = 2.5) -> DataFrame:
     """(media_a, media_b, points, zoom, turn): pairs of images that show the same, media_a < media_b.
 
     media: media_id BIGINT and content BINARY (8-bit PGM or PPM files); other columns are not
     read. Descriptors meet in hash tables of disjoint stretches of their bits, so wide that
-    chance fills a bucket of a table about half (their width follows the number of
+    chance gives a key of a table at most MATES descriptors (their width follows the number of
     descriptors); of those that meet, 64 bits may differ in at most `differ`. A pair of images is
     given if a similarity transform (turn and zoom from media_a to media_b in degrees and as a factor)
     maps `least` points or more of one to within `within` pixels of those of the other.
@@ -269,29 +313,25 @@ def image_copies(media: DataFrame, points: int = 40, contrast: int = 18, differ:
     spark = media.sparkSession
     found = written(keypoints(media, points, contrast), "points")
     n = found.count()
-    width = min(60, max(18, math.ceil(math.log2(n + 1)) + 1))
-    table = found.mapInArrow(_tables(width), "key long, media_id long, point int, near long, place binary")
-    a, b = (table.select("key", *[F.col(c).alias(f"{c.split('_')[0]}_{x}") for c in ("media_id", "point", "near", "place")]) for x in "ab")
-    hits = a.join(b, "key").where((F.col("media_a") < F.col("media_b")) & (F.bit_count(F.col("near_a").bitwiseXOR(F.col("near_b"))) <= differ))
-    rows = hits.select("media_a", "media_b", "point_a", "point_b", "place_a", "place_b")
-    return rows.repartition(2 * partitions(spark), "media_a", "media_b").sortWithinPartitions("media_a", "media_b").mapInArrow(_consensus(least, within), "media_a long, media_b long, points int, zoom double, turn double")
+    width = min(60, max(14, math.ceil(math.log2(n / MATES + 1))))
+    packed = found.select("media_id", "y", "x", "scale", "angle", "bits").mapInArrow(_tables(width, 8 * partitions(spark)), "bucket int, packed binary")
+    hits = packed.groupBy("bucket").applyInArrow(_meet(differ), "media_a long, media_b long, place_a long, place_b long")
+    return hits.repartition(2 * partitions(spark), "media_a", "media_b").sortWithinPartitions("media_a", "media_b").mapInArrow(_consensus(least, within), "media_a long, media_b long, points int, zoom double, turn double")
 
 
 def render(vectors: DataFrame, size: int = 96) -> DataFrame:
     """Pictures drawn from embeddings, since the tables hold none: (media_id, content).
 
-    Each vec_id v gives media_id 2 v, a scene of overlapping boxes placed by a generator seeded
-    with the vector. Those of v divisible by 8 also give 2 v + 1, an edited copy: by turns
+    Each vec_id v gives media_id 2 v, a cloudy scene of light and dark at two scales from a generator
+    seeded with the vector. Those of v divisible by 8 also give 2 v + 1, an edited copy: by turns
     cropped, cropped and made darker with noise, turned by 20 degrees, or made smaller.
     """
 
     def scene(vector: list[float]) -> np.ndarray:
         rng = np.random.default_rng(np.frombuffer(np.asarray(vector, np.float32).tobytes(), np.uint32).tolist())
-        img = np.full((size, size), 40 + rng.integers(0, 100), np.uint8)
-        y, x, h, w, v = (rng.integers(lo, hi, 26) for lo, hi in ((-8, size), (-8, size), (7, 34), (7, 34), (0, 256)))
-        for k in range(26):
-            img[max(0, y[k]) : y[k] + h[k], max(0, x[k]) : x[k] + w[k]] = v[k]
-        return img
+        coarse, fine = (resize(rng.random((1, n, n), np.float32), size, size)[0] for n in (9, 21))
+        img = coarse + fine
+        return np.rint(255 * (img - img.min()) / (img.max() - img.min())).astype(np.uint8)
 
     def edit(img: np.ndarray, how: int, seed: int) -> np.ndarray:
         rng = np.random.default_rng(seed)
