@@ -16,6 +16,8 @@ from marginalia.llm.common import U64, mix, partitions, written
 BITS, MARGIN, SCALES = 256, 13, (1.0, 0.75, 0.5625)
 #: Descriptors that chance may bring together under one key of a table, whatever their number.
 MATES = 32
+#: Pixels within which matched places count as one.
+APART = 6
 _RING = [(0, -3), (1, -3), (2, -2), (3, -1), (3, 0), (3, 1), (2, 2), (1, 3), (0, 3), (-1, 3), (-2, 2), (-3, 1), (-3, 0), (-3, -1), (-2, -2), (-1, -3)]
 _ARC = np.array([any(all(m >> (i + j) % 16 & 1 for j in range(9)) for i in range(16)) for m in range(65536)])
 _rng = np.random.default_rng(90210)
@@ -226,18 +228,18 @@ def _meet(differ: int):
     return run
 
 
-def consensus(a: np.ndarray, b: np.ndarray, point_a: np.ndarray, point_b: np.ndarray, within: float) -> tuple[int, float, float]:
-    """Of the similarity transforms that single matches propose, the one that most matches agree with: (points that agree, zoom, turn).
+def consensus(a: np.ndarray, b: np.ndarray, within: float) -> tuple[int, float, float]:
+    """Of the similarity transforms that single matches propose, the one that most places agree with: (places that agree, zoom, turn).
 
     a, b: (y, x, scale, angle) of each match.
     """
-    zoom = a[:, 2] / b[:, 2]  # a corner at a finer level of a is smaller there
     turn = b[:, 3] - a[:, 3]
-    zoom = zoom[:, None] * np.array([1.0])
     za = a[:, 1] + 1j * a[:, 0]
     zb = b[:, 1] + 1j * b[:, 0]
     best = (0, 1.0, 0.0)
     n = len(za)
+    # One corner may be found at several scales: places of one cell count once.
+    cell_a, cell_b = (np.rint(z.real / APART) + 1j * np.rint(z.imag / APART) for z in (za, zb))
     # Two matches give the transform: as exact as the places are.
     i, j = np.triu_indices(n, 1)
     far = (np.abs(za[i] - za[j]) >= 8) & (np.abs(zb[i] - zb[j]) >= 8)
@@ -256,7 +258,7 @@ def consensus(a: np.ndarray, b: np.ndarray, point_a: np.ndarray, point_b: np.nda
         count = miss.sum(1)
         for at in np.argsort(-count, kind="stable")[:8]:
             hit = miss[at]
-            own = min(len(np.unique(point_a[hit])), len(np.unique(point_b[hit])))
+            own = min(len(np.unique(cell[hit])) for cell in (cell_a, cell_b))
             if own > best[0]:
                 best = (own, float(abs(q[at])), float(np.angle(q[at])))
     return best
@@ -269,7 +271,7 @@ def _consensus(least: int, within: float):
             return None
         at = np.array(uniq, np.int64)
         a, b = (np.ascontiguousarray(at[:, i]).view(np.float16).reshape(-1, 4).astype(float) for i in (0, 1))
-        n, zoom, turn = consensus(a, b, at[:, 0], at[:, 1], within)
+        n, zoom, turn = consensus(a, b, within)
         return (*pair, n, zoom, math.degrees(turn)) if n >= least else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
