@@ -85,14 +85,16 @@ def scored(freq: DataFrame, n_words: int) -> DataFrame:
     """
     hit = F.exists("tf", lambda x: x > 0)
     stats = freq.agg(F.count("*").alias("n"), F.sum("doc_len").alias("length"), F.count_if(hit & F.col("keep")).alias("total"), *[F.count_if(F.get("tf", F.lit(i)) > 0).alias(f"df_{i}") for i in range(n_words)])
-    rows = freq.where(F.col("keep") & hit).crossJoin(F.broadcast(stats))  # one row, whatever the corpus' size
+    rows = freq.crossJoin(F.broadcast(stats))  # one row, whatever the corpus' size
     mean = F.when(F.col("length") > 0, F.col("length") / F.col("n")).otherwise(1.0)
 
     def part(i: int) -> Column:
         tf, df = F.get("tf", F.lit(i)), F.col(f"df_{i}")
         return F.when(tf > 0, F.log(1 + (F.col("n") - df + 0.5) / (df + 0.5)) * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("doc_len") / mean))).otherwise(0.0)
 
-    return rows.select("path", functools.reduce(Column.__add__, [part(i) for i in range(n_words)]).alias("score"), "total")
+    # A score depends on both sides, so the filter stays above the exchange, and that is read twice, not made twice.
+    score = F.when(F.col("keep"), functools.reduce(Column.__add__, [part(i) for i in range(n_words)])).otherwise(0.0)
+    return rows.select("path", score.alias("score"), "total").where("score > 0")
 
 
 def bm25(notes: DataFrame, query: str, weights: bool = True) -> DataFrame:
