@@ -38,6 +38,8 @@ def balance(cells: DataFrame, targets: dict[str, dict[str, float]], steps: int =
     spark = cells.sparkSession
     by = list(targets)
     keys = [(c, v) for c in by for v, s in targets[c].items() if s > 0]
+    if not keys:
+        return {c: {} for c in by}
     index = {k: i for i, k in enumerate(keys)}
     share = np.array([targets[c][v] for c, v in keys])
     total = cells.agg(F.sum("tokens")).first()[0] or 1.0
@@ -75,7 +77,7 @@ def balance(cells: DataFrame, targets: dict[str, dict[str, float]], steps: int =
 
 
 def rates(docs: DataFrame, targets: dict[str, dict[str, float] | float], budget: float | None = None, floor: float | None = None, **options) -> DataFrame:
-    """docs with tokens, rate and copies.
+    """docs with tokens, rate and copies; columns of docs with these names are replaced.
 
     docs: doc_id, text and the constrained columns. targets: for each column either the
     weight of each of its values (values not named get none), or an exponent that flattens
@@ -87,6 +89,12 @@ def rates(docs: DataFrame, targets: dict[str, dict[str, float] | float], budget:
     are the rate rounded up or down by the hash of doc_id and text, unbiased; rows that
     repeat both get the same number. A null or empty text has one token; an empty table gives no rows.
     """
+    rows = _rated(docs, targets, budget, floor, **options)
+    new = {"tokens": "__tokens", "rate": "__rate", "copies": "__copies"}
+    return rows.withColumns({k: F.col(v) for k, v in new.items()}).drop(*new.values())
+
+
+def _rated(docs: DataFrame, targets: dict[str, dict[str, float] | float], budget: float | None, floor: float | None, **options) -> DataFrame:
     by = list(targets)
     cells = written(_cells(docs, by, tokens(docs)), "cells")
     want = {c: _shares(cells, c, w) for c, w in targets.items()}
@@ -109,11 +117,10 @@ def rates(docs: DataFrame, targets: dict[str, dict[str, float] | float], budget:
     u = F.pmod(F.xxhash64(F.col("doc_id"), F.col("text"), F.lit("copies")), F.lit(1 << 40)) / float(1 << 40)
     whole = F.floor(rate + 1e-9)  # a rate that should be whole may be a hair below
     copies = whole + (u < rate - whole).cast("long")
-    rows = docs.join(rated, cond)
-    return rows.withColumns({"tokens": tokens(docs), "rate": rate, "copies": copies}).drop(*[f"__{c}" for c in by], "__rate")
+    return docs.join(rated, cond).withColumns({"__tokens": tokens(docs), "__copies": copies}).drop(*[f"__{c}" for c in by])
 
 
-def mixed(docs: DataFrame, targets: dict[str, dict[str, float] | float], **options) -> DataFrame:
-    """Each document as many times as its copies, with the columns of docs."""
-    rows = rates(docs, targets, **options)
-    return rows.withColumn("copies", F.explode(F.array_repeat(F.lit(1), F.col("copies").cast("int")))).select(*docs.columns)
+def mixed(docs: DataFrame, targets: dict[str, dict[str, float] | float], budget: float | None = None, floor: float | None = None, **options) -> DataFrame:
+    """Each document as many times as its copies, with the columns of docs, as they are."""
+    rows = _rated(docs, targets, budget, floor, **options)
+    return rows.withColumn("__copy", F.explode(F.array_repeat(F.lit(1), F.col("__copies").cast("int")))).select(*docs.columns)

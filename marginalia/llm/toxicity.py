@@ -10,8 +10,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Whole words known beforehand; more stems are learned from labels.
-SEEDS = ("idiot", "idiots", "moron", "morons", "stupid", "loser", "losers", "scum", "scumbag", "trash", "clown", "clowns", "pathetic", "worthless", "disgusting", "imbecile", "dumbass", "retard", "asshole", "bastard", "vermin")
+#: Whole words known beforehand, without such as other languages' syllables make up; more stems are learned from labels.
+SEEDS = ("idiot", "idiots", "moron", "morons", "stupid", "loser", "losers", "scum", "scumbag", "trash", "clown", "clowns", "pathetic", "worthless", "disgusting", "imbecile", "dumbass", "retard", "asshole", "bastard")
 #: Words that report speech, or speak of words, in several languages.
 REPORTING = frozenset("said says say quote quoted quotes called calls term terms word words slur insult insults wrote written headline title dit mot terme appelle sagte wort begriff nannte dijo palabra llamo término".split())
 NEGATION = frozenset("not never isn't aren't wasn't don't no pas jamais nicht nie kein nunca".split())
