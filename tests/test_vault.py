@@ -49,10 +49,10 @@ def test_reads(spark, folder):
 def test_edits(spark, folder):
     v = Vault.open(spark, folder)
     read = lambda p: open(os.path.join(folder, p), "rb").read().decode()
-    got = v.note_append("sub/b.md", "z", heading="Um", ensure_blank_line=False)
-    assert read("sub/b.md").endswith("y ^k1\r\nz\r\n") and "+z" in got["diff"]
+    got = v.note_append("sub/b.md", "z", heading="Um")
+    assert read("sub/b.md").endswith("y ^k1\r\n\r\nz\r\n") and "+z" in got["diff"]
     v.note_patch("sub/b.md", "w", block_id="k1")
-    assert "w ^k1\r\nz" in read("sub/b.md")
+    assert "w ^k1\r\n\r\nz" in read("sub/b.md")
     before = read("a.md")
     assert v.note_patch("a.md", "novo", heading="A", dry_run=True)["diff"].count("\n+novo") == 1 and read("a.md") == before
     with pytest.raises(NoteError, match="HASH_MISMATCH"):
