@@ -208,9 +208,9 @@ def token_table(notes: DataFrame) -> DataFrame:
 
 
 def postings(notes: DataFrame) -> DataFrame:
-    """(term, path, tf): every word under its one or two terms. Words are counted per note before they are given their terms."""
-    word = notes.select("path", F.explode(words(F.col("content").cast("string"))).alias("word")).groupBy("path", "word").agg(F.count("*").alias("tf"))
-    return word.select("path", F.explode(terms(F.col("word"))).alias("term"), "tf").groupBy("term", "path").agg(F.sum("tf").alias("tf"))
+    """(term, path, tf): every word under its one or two terms; counted before the one exchange, and after it."""
+    word = notes.select("path", F.explode(words(F.col("content").cast("string"))).alias("word"))
+    return word.select("path", F.explode(terms(F.col("word"))).alias("term")).groupBy("term", "path").agg(F.count("*").alias("tf"))
 
 
 def positions(notes: DataFrame) -> DataFrame:
