@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 
 import numpy as np
@@ -122,7 +123,9 @@ def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _normal(line: Column) -> Column:
-    return F.trim(F.regexp_replace(line, "[\t\x0b\f\r ]+", " "))
+    # Most lines have single spaces alone, which no pattern needs to look for.
+    loose = [F.contains(line, F.lit(s)) for s in ("  ", "\t", "\x0b", "\f", "\r")]
+    return F.trim(F.when(functools.reduce(Column.__or__, loose), F.regexp_replace(line, "[\t\x0b\f\r ]+", " ")).otherwise(line))
 
 
 def _lines(docs: DataFrame) -> DataFrame:
