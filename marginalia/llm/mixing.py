@@ -8,6 +8,9 @@ from pyspark.sql import functions as F
 
 from marginalia.llm.common import written
 
+#: Cells (combinations of constraint values) up to which their rates are broadcast; about 10 MB.
+FEW_CELLS = 100_000
+
 
 def tokens(docs: DataFrame) -> Column:
     """A document's size in tokens: its white-space words, one at least."""
@@ -105,10 +108,12 @@ def _rated(docs: DataFrame, targets: dict[str, dict[str, float] | float], budget
     for c in by:
         rated = rated.join(spark.createDataFrame(list(lam[c].items()), f"`{c}` string, `l_{c}` double"), c, "left")
     rated = rated.withColumn("rate", F.coalesce(F.exp(sum(F.col(f"l_{c}") for c in by)), F.lit(0.0)))
-    spent, total, least = rated.agg(F.sum(F.col("rate") * F.col("tokens")), F.sum("tokens"), F.min(F.when(F.col("rate") > 0, F.col("rate")))).first()
+    spent, total, least, n = rated.agg(F.sum(F.col("rate") * F.col("tokens")), F.sum("tokens"), F.min(F.when(F.col("rate") > 0, F.col("rate"))), F.count("*")).first()
     scale = floor / least if floor and least else (budget or total or 1.0) / spent if spent else 1.0
-    # Cells are as many as the combinations of values that occur; Spark picks the join by their size.
+    # Cells are as many as the combinations of values that occur. While they are few they travel to the
+    # documents, whose hot sources then need not meet in one task; beyond that both sides are shuffled.
     rated = rated.select(*[F.col(c).alias(f"__{c}") for c in by], (F.col("rate") * scale).alias("__rate"))
+    rated = F.broadcast(rated) if n <= FEW_CELLS else rated
     on = [F.coalesce(F.col(c).cast("string"), F.lit("")) == F.col(f"__{c}") for c in by]
     cond = on[0]
     for x in on[1:]:
