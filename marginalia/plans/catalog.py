@@ -171,6 +171,19 @@ def bm25_two_terms(spark, d):
     return rows.select("path", "title", F.round("score", 6).alias("score"), "modified", "total", "truncated", "snippet")
 
 
+@query()
+def bm25_two_terms_whole(spark, d):
+    """The search over every note, of any letters; bm25_two_terms is its ASCII slice, whose snippets SQL can cut by bytes."""
+    rows = search.search(notes(spark, d), "of hain")
+    return rows.select("path", "title", F.round("score", 6).alias("score"), "modified", "total", "truncated", "snippet")
+
+
+@query(_bm25("of hain", select=_PAGE.format(end=20, limit=20, offset=0)))
+def bm25_two_terms_page(spark, d):
+    """What SQL can say of bm25_two_terms_whole: all but the snippet."""
+    return _page(search.search(notes(spark, d), "of hain", snippets=False))
+
+
 @query(_bm25("of the", keep=r"regexp_matches(lower(strip_accents(content)), '(^|[^\p{L}\p{Nd}])of[\x00-/:-@\[-`{-\x7F](the|thes)([^\p{L}\p{Nd}]|$)')", select=_PAGE.format(end=20, limit=20, offset=0)))
 def phrase_search(spark, d):
     return _page(search.search(notes(spark, d), '"of the"', snippets=False))
