@@ -248,6 +248,34 @@ def _verified(cand: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
     return both.repartition(2 * partitions(spark), "home").sortWithinPartitions("home", "kind").mapInArrow(_verify(threshold), "a long, b long, found long, jaccard double")
 
 
+def near_sets(docs: DataFrame, n: int = 3, threshold: float = 0.6, recall: float = 0.95, runs: int = 6, small: int = 48, most: int = 8, task_rows: int = 200_000, rounds: int = 8) -> tuple[DataFrame, DataFrame]:
+    """(rid, doc_id) of every document, and (a, b, jaccard) of the near pairs of different sets; see ngram_jaccard_pairs()."""
+    sets = written(shingle_sets(docs, n), "sets")
+    one = sets.groupBy("rid").agg(F.first("sig").alias("sig"))
+    # Records of one set are the same to the last byte: any may stand for all.
+    reps = sets.select("rid", "members").dropDuplicates(["rid"])
+    cand, seen = None, []
+    for r in range(rounds):
+        new = _round(one, list(range(r * runs, (r + 1) * runs)), threshold, small, most, task_rows)
+        seen.append(written(new, "found"))
+        cand = functools.reduce(DataFrame.unionByName, seen)
+        near = written(_verified(cand, reps, threshold), "near")
+        total, once, twice = near.select(F.count("*"), F.count_if(F.col("found") == 1), F.count_if(F.col("found") == 2)).first()
+        missed = once * once / (2 * twice) if twice else once * (once - 1) / 2
+        if total >= recall * (total + missed):
+            break
+    return sets.select("rid", "doc_id").distinct(), near.select("a", "b", "jaccard")
+
+
+def star_pairs(docs: DataFrame, **options) -> DataFrame:
+    """(id_a, id_b) that connect what ngram_jaccard_pairs() connects, with one row for a copy: to its set's least doc_id, and near pairs between those."""
+    members, near = near_sets(docs, **options)
+    groups = members.groupBy("rid").agg(F.min("doc_id").alias("id"))
+    a, b = (groups.select(F.col("rid").alias(x), F.col("id").alias(f"id_{x}")) for x in "ab")
+    copies = members.join(groups, "rid").select(F.col("id").alias("id_a"), F.col("doc_id").alias("id_b"))
+    return near.join(a, "a").join(b, "b").select("id_a", "id_b").unionByName(copies).where("id_a <> id_b")
+
+
 def ngram_jaccard_pairs(docs: DataFrame, n: int = 3, threshold: float = 0.6, recall: float = 0.95, runs: int = 6, small: int = 48, most: int = 8, task_rows: int = 200_000, rounds: int = 8) -> DataFrame:
     """Pairs of documents whose sets of word n-grams have a Jaccard index of threshold or more.
 
@@ -264,32 +292,18 @@ def ngram_jaccard_pairs(docs: DataFrame, n: int = 3, threshold: float = 0.6, rec
     repeat until the estimated recall is `recall` (at most `rounds`). The index is exact but
     for collisions of 32-bit n-gram hashes.
 
-    Returns (id_a, id_b, jaccard). Documents with the same set are joined to the one of least
-    doc_id (id_a) with index 1; pairs of different sets are given between those least
-    doc_ids. So every qualifying pair of documents is given, copies through their first.
+    Returns (id_a, id_b, jaccard) with id_a < id_b: all pairs within a set, with index 1, and
+    those between all members of two sets that are found. A set of m documents alone gives
+    m (m - 1) / 2 rows; keep_one_per_group() goes by star_pairs() instead.
 
     Rows without a doc_id, and texts without a word (null and empty ones too), give no pair;
     rows that repeat a doc_id never pair with it; an empty table gives no rows.
     """
-    sets = written(shingle_sets(docs, n), "sets")
-    groups = sets.groupBy("rid").agg(F.min("doc_id").alias("doc_id"))
-    one = sets.groupBy("rid").agg(F.first("sig").alias("sig"))
-    # Records of one set are the same to the last byte: any may stand for all.
-    reps = sets.select("rid", "members").dropDuplicates(["rid"])
-    cand, seen = None, []
-    for r in range(rounds):
-        new = _round(one, list(range(r * runs, (r + 1) * runs)), threshold, small, most, task_rows)
-        seen.append(written(new, "found"))
-        cand = functools.reduce(DataFrame.unionByName, seen)
-        near = written(_verified(cand, reps, threshold), "near")
-        total, once, twice = near.select(F.count("*"), F.count_if(F.col("found") == 1), F.count_if(F.col("found") == 2)).first()
-        missed = once * once / (2 * twice) if twice else once * (once - 1) / 2
-        if total >= recall * (total + missed):
-            break
-    a, b = (groups.select(F.col("rid").alias(x), F.col("doc_id").alias(f"id_{x}")) for x in "ab")
-    near = near.join(a, "a").join(b, "b").select(F.least("id_a", "id_b").alias("id_a"), F.greatest("id_a", "id_b").alias("id_b"), "jaccard").where("id_a <> id_b")
-    same = sets.select("rid", "doc_id").join(groups.withColumnRenamed("doc_id", "id_a"), "rid").where("doc_id <> id_a").select("id_a", F.col("doc_id").alias("id_b"), F.lit(1.0).alias("jaccard"))
-    return near.unionByName(same).groupBy("id_a", "id_b").agg(F.max("jaccard").alias("jaccard"))
+    members, near = near_sets(docs, n, threshold, recall, runs, small, most, task_rows, rounds)
+    a, b = (members.select(F.col("rid").alias(x), F.col("doc_id").alias(f"id_{x}")) for x in "ab")
+    found = near.join(a, "a").join(b, "b").select(F.least("id_a", "id_b").alias("id_a"), F.greatest("id_a", "id_b").alias("id_b"), "jaccard")
+    same = a.join(b, F.col("a") == F.col("b")).select("id_a", "id_b", F.lit(1.0).alias("jaccard"))
+    return found.unionByName(same).where("id_a < id_b").groupBy("id_a", "id_b").agg(F.max("jaccard").alias("jaccard"))
 
 
 def components(pairs: DataFrame) -> DataFrame:
@@ -321,7 +335,7 @@ def keep_one_per_group(docs: DataFrame, **options) -> DataFrame:
     The result has the columns and rows of docs otherwise; rows without a doc_id, and texts
     without a word, stay.
     """
-    groups = components(ngram_jaccard_pairs(docs, **options))
+    groups = components(star_pairs(docs, **options))
     gone = groups.where("doc_id <> group_id").select(F.col("doc_id").cast(docs.schema["doc_id"].dataType).alias("doc_id"))
     return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
 
