@@ -61,14 +61,22 @@ def cutoffs(scored: list[tuple[str | None, float, int]], alpha: float, delta: fl
     chance 1 - delta, no stratum's true false-rejection rate exceeds alpha. A stratum of
     which nothing can be certified gets -infinity: nothing is rejected there.
     """
-    out: dict[str | None, float] = {}
-    strata = sorted({s for s, _, _ in scored}, key=lambda s: (s is not None, s or ""))
-    for stratum in strata:
+    cuts = np.arange(1, grid) / grid  # fixed in advance, not taken from the holdout
+    counts = {}
+    for stratum in {s for s, _, _ in scored}:
         good = np.sort([x for s, x, y in scored if s == stratum and y == 1])
+        counts[stratum] = (len(good), [int(i) for i in np.searchsorted(good, cuts)])  # rejected: score < cut
+    return certified(counts, alpha, delta, grid)
+
+
+def certified(counts: dict[str | None, tuple[int, list[int]]], alpha: float, delta: float, grid: int) -> dict[str | None, float]:
+    """cutoffs() from each stratum's number of good documents, and of those below each cutoff of the grid."""
+    out: dict[str | None, float] = {}
+    for stratum, (n, below) in counts.items():
         best = -math.inf
-        for cut in np.arange(1, grid) / grid:  # fixed in advance, not taken from the holdout
-            bad = int(np.searchsorted(good, cut))  # rejected: score < cut
-            if not len(good) or binomial_upper(bad, len(good), delta / len(strata)) > alpha:
+        for cut, bad in zip(np.arange(1, grid) / grid, below):
+            # The bound is never under the rate seen.
+            if bad > alpha * n or binomial_upper(bad, n, delta / len(counts)) > alpha:
                 break
             best = float(cut)
         out[stratum] = best
@@ -93,30 +101,47 @@ def _fit(x: np.ndarray, y: np.ndarray, ridge: float) -> np.ndarray:
 def rules(docs: DataFrame, labels: DataFrame, alpha: float = 0.02, delta: float = 0.05, max_labels: int = 20_000, grid: int = 50, ridge: float = 1e-4) -> tuple[Column, Column]:
     """(score, threshold) columns over docs: a document of lower score than threshold is rejected.
 
-    At most max_labels labelled documents are used, those of least hash of their id; half of
-    them, by another hash, fit a classifier of FEATURES, the other half choose each stratum's
-    (lang's) cutoff.
+    A classifier of FEATURES is fitted to at most max_labels labelled documents: of one half,
+    by a hash of their id, those of least other hash. All other labelled documents choose each
+    stratum's (lang's) cutoff, counted per stratum and cutoff.
     """
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality")).where("doc_id IS NOT NULL AND quality IN (0, 1)").groupBy("doc_id").agg(F.min("quality").alias("quality"))
-    known = known.orderBy(F.xxhash64("doc_id", F.lit("sample")), "doc_id").limit(max_labels)
+    fit = known.where(F.pmod(F.xxhash64("doc_id", F.lit("holdout")), F.lit(2)) == 0).orderBy(F.xxhash64("doc_id", F.lit("sample")), "doc_id").limit(max_labels)
     f = features(F.col("text"))
     lang = F.col("lang").cast("string") if "lang" in docs.columns else F.lit(None).cast("string")
     text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), lang.alias("lang"), F.col("text").cast("string").alias("text"))
     # The sample is bounded by max_labels, so its ids may be broadcast whatever the corpus' size.
-    rows = text.join(F.broadcast(known), "doc_id").select("doc_id", "lang", "quality", *[c.cast("double").alias(n) for n, c in f.items()], (F.pmod(F.xxhash64("doc_id", F.lit("holdout")), F.lit(2)) == 1).alias("holdout")).toPandas()
-    x, y, held = rows[list(FEATURES)].to_numpy(float), rows["quality"].to_numpy(int), rows["holdout"].to_numpy(bool)
-    if not (y[~held] == 0).any() or not (y[~held] == 1).any():
+    rows = text.join(F.broadcast(fit), "doc_id").select("doc_id", "quality", *[c.cast("double").alias(n) for n, c in f.items()]).toPandas()
+    x, y = rows[list(FEATURES)].to_numpy(float), rows["quality"].to_numpy(int)
+    if not (y == 0).any() or not (y == 1).any():
         return F.lit(1.0), F.lit(float("-inf"))
-    mean, scale = x[~held].mean(0), x[~held].std(0) + 1e-9
-    beta = _fit((x[~held] - mean) / scale, y[~held], ridge)
-    score = 1 / (1 + np.exp(-np.clip((x - mean) / scale @ beta[:-1] + beta[-1], -30, 30)))
-    strata = [s if isinstance(s, str) else None for s in rows["lang"]]
-    chosen = cutoffs([(s, float(v), int(q)) for s, v, q, h in zip(strata, score, y, held) if h], alpha, delta, grid)
+    mean, scale = x.mean(0), x.std(0) + 1e-9
+    beta = _fit((x - mean) / scale, y, ridge)
     z = sum((f[n] - float(m)) / float(s) * float(b) for n, m, s, b in zip(FEATURES, mean, scale, beta)) + float(beta[-1])
+    score = 1 / (1 + F.exp(-F.least(F.greatest(z, F.lit(-30.0)), F.lit(30.0))))
+    # Every document that was in the sample is out of the holdout, even if it repeats there.
+    used = docs.sparkSession.createDataFrame([(int(i),) for i in rows["doc_id"].unique()], "doc_id long")
+    held = known.join(F.broadcast(used), "doc_id", "left_anti").where("quality = 1").select("doc_id")
+    good = _perhaps(text, held).select("doc_id", "lang", score.alias("score")).join(held, "doc_id")
+    below = [F.count_if(F.col("score") < float(cut)).alias(f"below_{i}") for i, cut in enumerate(np.arange(1, grid) / grid)]
+    counts = {r[0]: (r[1], list(r[2:])) for r in good.groupBy("lang").agg(F.count("*").alias("n"), *below).collect()}
     low = F.lit(float("-inf"))
-    for stratum, cut in chosen.items():
+    for stratum, cut in certified(counts, alpha, delta, grid).items():
         low = F.when(lang.eqNullSafe(F.lit(stratum)), F.lit(cut)).otherwise(low)
-    return 1 / (1 + F.exp(-F.least(F.greatest(z, F.lit(-30.0)), F.lit(30.0)))), low
+    return score, low
+
+
+def _perhaps(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """docs without most of those whose doc_id is not in ids, so that few texts are measured in vain and none is shuffled.
+
+    A filter of 2**25 bits whatever the number of ids: 4 MB are broadcast, and the more ids,
+    the more others pass. No row with an id of ids is lost.
+    """
+    place = F.pmod(F.xxhash64("doc_id", F.lit("filter")), F.lit(1 << 25))
+    part, at = F.shiftright(place, 15).alias("part"), F.pmod(place, F.lit(1 << 15))
+    bits = ids.select(part, at.alias("at")).groupBy("part").agg(F.bitmap_construct_agg("at").alias("bits"))
+    byte = F.conv(F.hex(F.substring("bits", F.shiftright(at, 3).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    return docs.withColumn("part", part).join(F.broadcast(bits), "part").where(F.getbit(byte, F.pmod(at, F.lit(8)).cast("int")) == 1).drop("part", "bits")
 
 
 def scored(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
@@ -131,7 +156,8 @@ def scored(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
     empty one. Rows are never merged; columns of docs with the names of the new ones are replaced.
     """
     score, low = rules(docs, labels, **options)
-    return docs.withColumns({"score": score, "threshold": low}).withColumn("kept", F.col("score") >= F.col("threshold"))
+    # Exploded, as a filter on kept would else be pushed below the score and compute it again.
+    return docs.withColumns({"score": F.explode(F.array(score)), "threshold": low}).withColumn("kept", F.col("score") >= F.col("threshold"))
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:

@@ -2,7 +2,9 @@
 
 import random
 
-from marginalia.llm import jaccard
+from pyspark.sql import functions as F
+
+from marginalia.llm import jaccard, quality
 from tests.llm.test_operators import DOC, words
 
 
@@ -20,3 +22,21 @@ def test_copies_are_joined_by_a_star(spark):
     docs = spark.createDataFrame([(i, "one text of a few words") for i in range(40)] + [(50, "another text of other words")], DOC)
     assert jaccard.star_pairs(docs).count() == 39
     assert {r.doc_id for r in jaccard.keep_one_per_group(docs).collect()} == {0, 50}
+
+
+def test_labels_beyond_the_sample_choose_cutoffs(spark):
+    rng = random.Random(13)
+    good = [(i, ". ".join(words(rng, 12, 3000) for _ in range(6)) + ".", "en") for i in range(900)]
+    junk = [(2000 + i, "%%% ### | " * 20 + words(rng, 4), "en") for i in range(300)]
+    docs = spark.createDataFrame(good + junk, DOC + ", lang string").cache()
+    labels = spark.createDataFrame([(i, 1) for i, *_ in good] + [(i, 0) for i, *_ in junk], "doc_id long, quality int")
+    rows = quality.scored(docs, labels, max_labels=120).collect()
+    assert len(rows) == 1200 and sum(r.kept for r in rows if r.doc_id >= 2000) <= 6 and sum(r.kept for r in rows if r.doc_id < 2000) >= 0.98 * 900
+
+
+def test_filter_of_ids_loses_none(spark):
+    docs = spark.range(40_000).select(F.col("id").alias("doc_id"), F.lit("x").alias("text"))
+    ids = docs.where("doc_id % 7 = 3").select("doc_id")
+    got = {r.doc_id for r in quality._perhaps(docs, ids).select("doc_id").collect()}
+    want = set(range(3, 40_000, 7))
+    assert want <= got and len(got) < len(want) + 200
