@@ -107,20 +107,53 @@ def ranges(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder the cluster shares; one of our own only where none is named, as in tests."""
+    """The folder the cluster shares, as spark.checkpoint.dir names it.
+
+    Where it is unset, a folder of our own if the session runs in one process; on a
+    cluster that would be another folder on each machine, so there it is an error.
+    """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="marginalia-")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder.rstrip("/")
 
 
+def _own_dir(spark: SparkSession) -> str:
+    """This application's part of the shared folder; it is deleted when the application ends."""
+    own = f"{shared_dir(spark)}/{spark.sparkContext.applicationId}"
+    if own not in _own_dirs:
+        _own_dirs.add(own)
+        files, path = _filesystem(spark, own), spark._jvm.org.apache.hadoop.fs.Path(own)
+        files.mkdirs(path)
+        files.deleteOnExit(path)
+    return own
+
+
+_own_dirs: set[str] = set()
+
+
+def _filesystem(spark: SparkSession, path: str):
+    return spark._jvm.org.apache.hadoop.fs.Path(path).getFileSystem(spark._jsc.hadoopConfiguration())
+
+
 def written(df: DataFrame, what: str) -> DataFrame:
     """df, written to the shared folder and read again, so that lost executors cost nothing upstream."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
+    path = f"{_own_dir(spark)}/{what}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    again = spark.read.schema(df.schema).parquet(path)
+    again._written_to = path
+    return again
+
+
+def drop_written(*tables: DataFrame) -> None:
+    """Deletes tables that written() made and nothing reads any more."""
+    for df in tables:
+        path = df._written_to
+        _filesystem(df.sparkSession, path).delete(df.sparkSession._jvm.org.apache.hadoop.fs.Path(path), True)
 
 
 def partitions(spark: SparkSession) -> int:
