@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 
 from marginalia.llm.common import U64, _INV, byte_range_hashes, flat, mix, partitions, powers, written
 
+_NEAR = "doc_id long, print long, line_no int, to_doc long, to_line int"
+
 
 def within_one(a: list[str], b: list[str]) -> bool:
     """Whether one insertion, deletion or substitution of a word, or none, turns a into b."""
@@ -61,6 +63,7 @@ def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         half, own = table.column("half").to_numpy(), table.column("own").to_numpy(zero_copy_only=False)
         lines = table.column("norm").to_pylist()
         doc = table.column("doc_id").to_pandas().astype("Int64")
+        text = table.column("print").to_numpy()
         place = table.column("line_no").to_numpy()
         lost = doc.isna().to_numpy()
         ids = doc.fillna(0).to_numpy(np.int64)
@@ -103,7 +106,7 @@ def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if who:
             other = best[who]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(ids[who], pa.int64(), mask=lost[who]), pa.array(place[who], pa.int32()), pa.array(ids[other], pa.int64(), mask=lost[other]), pa.array(place[other], pa.int32())], ["doc_id", "line_no", "to_doc", "to_line"]
+                [pa.array(ids[who], pa.int64(), mask=lost[who]), pa.array(text[who], pa.int64()), pa.array(place[who], pa.int32()), pa.array(ids[other], pa.int64(), mask=lost[other]), pa.array(place[other], pa.int32())], ["doc_id", "print", "line_no", "to_doc", "to_line"]
             )
 
     rest: list[pa.RecordBatch] = []
@@ -147,7 +150,41 @@ def _halves(norm: str, min_words: int) -> Column:
     return F.when(w >= min_words, F.array(key(w, True, 1), key(w, True, -1), key(w + 1, False, 1), key(w + 1, False, -1)))
 
 
-def repeated_lines(docs: DataFrame, min_words: int = 8) -> DataFrame:
+def _variant_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row for each variant of each line: its hashed key, its kind (0 same place, 1 without a word, 2 whole), and the line's number in its batch."""
+    for batch in batches:
+        for lo in range(0, batch.num_rows, 2000):
+            part = batch.slice(lo, 2000)
+            keys, line, n = _variants(part.column("half").to_numpy(), part.column("own").to_numpy(zero_copy_only=False), part.column("norm").to_pylist())
+            kind = np.zeros(len(keys), np.int8)
+            kind[n : 2 * n], kind[2 * n :] = 1, 2
+            rows = part.select(["doc_id", "print", "line_no", "norm"]).take(pa.array(line))
+            yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(kind), *rows.columns], ["key", "kind", "doc_id", "print", "line_no", "norm"])
+
+
+def _one_apart(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows whose two lines are within one word of each other, without the lines."""
+    for batch in batches:
+        keep = [a != b and within_one(a.split(" "), b.split(" ")) for a, b in zip(batch.column("norm").to_pylist(), batch.column("to_norm").to_pylist())]
+        yield batch.filter(pa.array(keep, pa.bool_())).select(["doc_id", "print", "line_no", "to_doc", "to_line"])
+
+
+def _hot_neighbours(lines: DataFrame) -> DataFrame:
+    """What _neighbours() gives, for lines of buckets that are too large for one task.
+
+    Every variant is a row of its own; the earliest line of each key is a minimum, which is
+    taken before the rows are shuffled, and is joined back to the lines that share the key.
+    """
+    rows = lines.mapInArrow(_variant_rows, "key long, kind byte, doc_id long, print long, line_no int, norm string")
+    place = F.struct("doc_id", "line_no", "norm")
+    # Kinds 1 and 2 answer each other: a whole line equals another one without a word.
+    low = rows.groupBy("key", "kind").agg(F.min(place).alias("low")).select(F.col("key").alias("k"), F.when(F.col("kind") == 0, 0).otherwise(3 - F.col("kind")).alias("for"), "low")
+    met = rows.join(low, (F.col("key") == F.col("k")) & (F.col("kind") == F.col("for")))
+    met = met.where(F.struct("doc_id", "line_no") > F.struct("low.doc_id", "low.line_no"))
+    return met.select("doc_id", "print", "line_no", "norm", F.col("low.doc_id").alias("to_doc"), F.col("low.line_no").alias("to_line"), F.col("low.norm").alias("to_norm")).mapInArrow(_one_apart, _NEAR)
+
+
+def repeated_lines(docs: DataFrame, min_words: int = 8, task_lines: int = 200_000) -> DataFrame:
     """The lines that an earlier line equals, or is one word away from.
 
     docs: doc_id BIGINT and text; other columns are not read. Lines are parted by newlines;
@@ -160,52 +197,59 @@ def repeated_lines(docs: DataFrame, min_words: int = 8) -> DataFrame:
     Near copies: lines that share half of their words with another (which one changed word
     leaves intact) meet in that half's bucket. There every line emits its variants with one
     word deleted as hashed keys; equal keys join, in linear time however many lines share
-    them, and the match with the earliest is verified word by word.
+    them, and the match with the earliest is verified word by word. Buckets of more than
+    task_lines lines aren't held in a task: there each variant is a row, and rows are joined.
 
     Returns (doc_id, print, line_no, kept_doc_id, kept_line_no), print being the xxhash64 of the text.
-    Null and empty texts and empty tables give no rows; rows that repeat a doc_id and a text
-    keep the same lines, for equal positions tie.
+    Null and empty texts and empty tables give no rows. Rows that share a doc_id are told
+    apart by their texts; lines at the same position of them tie, and neither is the
+    earlier: rows that repeat both keep the same lines, and so do all rows without a
+    doc_id, line by line. Very long texts have their lines like others.
     """
     spark = docs.sparkSession
     lines = _lines(docs).withColumn("key", F.unhex(F.md5(F.col("norm").cast("binary"))))
     at = F.struct("doc_id", "line_no")
-    distinct = written(lines.select("key", at.alias("first"), _halves("norm", min_words).alias("halves")).groupBy("key").agg(F.min("first").alias("first"), F.first("halves").alias("halves")), "lines")
+    distinct = written(lines.select("key", F.struct("doc_id", "line_no", "print").alias("first"), _halves("norm", min_words).alias("halves")).groupBy("key").agg(F.min("first").alias("first"), F.first("halves").alias("halves")), "lines")
     half = distinct.select("first", F.inline("halves"))
-    met = half.groupBy("half").agg(F.min("first").alias("lo"), F.max("first").alias("hi"), F.max("own").alias("any")).where("lo <> hi AND any").select("half")
-    wanted = half.join(met, "half").select(F.col("first.doc_id").alias("doc_id"), F.col("first.line_no").alias("line_no"), "half", "own")
-    asked = wanted.groupBy("doc_id").agg(F.collect_list(F.struct("line_no", "half", "own")).alias("asked")).withColumnRenamed("doc_id", "of")
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.split("text", "\n").alias("lines"))
+    met = half.groupBy("half").agg(F.min("first").alias("lo"), F.max("first").alias("hi"), F.max("own").alias("any"), F.count("*").alias("n")).where("lo <> hi AND any").select("half", (F.col("n") > task_lines).alias("hot"))
+    wanted = half.join(met, "half").select(F.col("first.doc_id").alias("of"), F.col("first.print").alias("of_print"), F.col("first.line_no").alias("line_no"), "half", "own", "hot")
+    asked = wanted.groupBy("of", "of_print").agg(F.collect_list(F.struct("line_no", "half", "own", "hot")).alias("asked"))
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("print"), F.split("text", "\n").alias("lines"))
     near = (
-        texts.join(asked, F.col("doc_id").eqNullSafe(F.col("of")))
-        .select("doc_id", "lines", F.inline("asked"))
-        .select("half", "own", "doc_id", "line_no", _normal(F.get("lines", "line_no")).alias("norm"))
-        .repartition(2 * partitions(spark), "half")
-        .sortWithinPartitions("half")
-        .mapInArrow(_neighbours, "doc_id long, line_no int, to_doc long, to_line int")
-        .groupBy("doc_id", "line_no")
-        .agg(F.min(F.struct(F.col("to_doc").alias("doc_id"), F.col("to_line").alias("line_no"))).alias("near"))
-        .select(at.alias("of"), "near")
+        texts.join(asked, F.col("doc_id").eqNullSafe(F.col("of")) & (F.col("print") == F.col("of_print")))
+        .select("doc_id", "print", "lines", F.inline("asked"))
+        .select("half", "own", "hot", "doc_id", "print", "line_no", _normal(F.get("lines", "line_no")).alias("norm"))
     )
-    first = distinct.select("key", "first").join(written(near, "near"), F.col("first").eqNullSafe(F.col("of")), "left").select("key", F.least("first", F.coalesce("near", "first")).alias("keep"))
-    return lines.select("doc_id", "print", "line_no", "key").join(first, "key").where(at > F.col("keep")).select("doc_id", "print", "line_no", F.col("keep.doc_id").alias("kept_doc_id"), F.col("keep.line_no").alias("kept_line_no"))
+    near = written(near, "asked")
+    hot = near.where("hot").drop("hot")
+    found = near.where("NOT hot").drop("hot").repartition(2 * partitions(spark), "half").sortWithinPartitions("half").mapInArrow(_neighbours, _NEAR)
+    found = found if hot.isEmpty() else found.unionByName(_hot_neighbours(hot))
+    near = found.groupBy("doc_id", "print", "line_no").agg(F.min(F.struct(F.col("to_doc").alias("doc_id"), F.col("to_line").alias("line_no"))).alias("near")).select(F.struct("doc_id", "line_no", "print").alias("of"), "near")
+    first = F.struct("first.doc_id", "first.line_no")
+    keep = distinct.select("key", "first").join(written(near, "near"), F.col("first").eqNullSafe(F.col("of")), "left").select("key", F.least(first, F.coalesce("near", first)).alias("keep"))
+    return lines.select("doc_id", "print", "line_no", "key").join(keep, "key").where(at > F.col("keep")).select("doc_id", "print", "line_no", F.col("keep.doc_id").alias("kept_doc_id"), F.col("keep.line_no").alias("kept_line_no"))
 
 
 def dedupe_lines(docs: DataFrame, min_words: int = 8) -> DataFrame:
     """docs with the lines that repeated_lines() names cut from their texts.
 
-    Columns and rows are those of docs, n_chars, where there is one, counted anew; a document
-    goes where every line that was not blank is a repetition.
+    Columns and rows are those of docs, whatever their names; n_chars, where there is one,
+    is counted anew; a document goes where every line that was not blank is a repetition.
+    Null, empty and blank texts stay as they are; of rows that repeat doc_id and text all are
+    cut alike; an empty table gives no rows.
     """
     gone = repeated_lines(docs, min_words).groupBy("doc_id", "print").agg(F.collect_list("line_no").alias("gone"))
-    left = docs.withColumns({"__id": F.col("doc_id").cast("long"), "__print": F.xxhash64("text"), "__lines": F.split("text", "\n")}).drop("text")
-    gone = gone.select(F.col("doc_id").alias("__of"), F.col("print").alias("__of_print"), F.col("gone").alias("__gone"))
-    rows = left.join(gone, F.col("__id").eqNullSafe(F.col("__of")) & (F.col("__print") == F.col("__of_print")), "left")
-    kept = F.transform(F.array_except(F.sequence(F.lit(0), F.size("__lines") - 1), "__gone"), lambda i: F.get("__lines", i))
-    rows = rows.withColumn("__kept", F.when(F.col("__gone").isNull(), F.col("__lines")).otherwise(kept))
-    rows = rows.where(F.col("__gone").isNull() | F.exists("__kept", lambda x: F.trim(F.translate(x, "\t\x0b\f\r", "    ")) != ""))
-    text = F.array_join("__kept", "\n")
-    out = {"text": text} | ({"n_chars": F.coalesce(F.length(text).cast("long"), F.col("n_chars"))} if "n_chars" in docs.columns else {})
-    return rows.withColumns(out).select(*docs.columns)
+    # All columns of docs travel in one, so that none can clash with those added here.
+    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    left = whole.select("row", F.col("row.doc_id").cast("long").alias("id"), F.xxhash64("row.text").alias("print"), F.split("row.text", "\n").alias("lines"))
+    gone = gone.select(F.col("doc_id").alias("of"), F.col("print").alias("of_print"), "gone")
+    rows = left.join(gone, F.col("id").eqNullSafe(F.col("of")) & (F.col("print") == F.col("of_print")), "left")
+    kept = F.transform(F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), "gone"), lambda i: F.get("lines", i))
+    rows = rows.withColumn("kept", F.when(F.col("gone").isNull(), F.col("lines")).otherwise(kept))
+    rows = rows.where(F.col("gone").isNull() | F.exists("kept", lambda x: F.trim(F.translate(x, "\t\x0b\f\r", "    ")) != ""))
+    text = F.array_join("kept", "\n")
+    new = {"text": text, "n_chars": F.coalesce(F.length(text).cast("long"), F.col("row.n_chars"))} if "n_chars" in docs.columns else {"text": text}
+    return rows.select(*[(new[c] if c in new else F.col(f"row.`{c}`")).alias(c) for c in docs.columns])
 
 
 ORACLE = r"""
