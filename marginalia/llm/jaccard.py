@@ -10,13 +10,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marginalia.llm.common import ALNUM, U64, byte_range_hashes, chunks, flat, mix, partitions, range_hashes, words, written
+from marginalia.llm.common import ALNUM, U64, byte_range_hashes, chunks, drop_written, flat, mix, partitions, range_hashes, words, written
 
 #: Coordinates of a signature.
 T = 64
-_rng = np.random.default_rng(715517)
-_MUL = _rng.integers(0, 2**31, T, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
-_XOR = _rng.integers(0, 2**32, T, dtype=np.uint32)
+#: Standard deviations below what is expected at the threshold, under which a candidate's signatures may not agree: one pair in over a million.
+SURE = 5.0
 _PATH = "path long, rid long, sig binary"
 _CAND = "home long, a long, b long"
 _SETS = "rid long, doc_id long, sig binary, members binary"
@@ -41,11 +40,19 @@ def _shingles(texts: list[str | None], n: int) -> tuple[np.ndarray, np.ndarray,
     return both.astype(np.uint32), have, first
 
 
-def _signatures(flatset: np.ndarray, first: np.ndarray) -> np.ndarray:
+@functools.cache
+def _hashes(draw: int) -> tuple[np.ndarray, np.ndarray]:
+    """The hash functions of a draw of coordinates."""
+    rng = np.random.default_rng([715517, draw])
+    return rng.integers(0, 2**31, T, dtype=np.uint32) * np.uint32(2) + np.uint32(1), rng.integers(0, 2**32, T, dtype=np.uint32)
+
+
+def _signatures(flatset: np.ndarray, first: np.ndarray, draw: int = 0) -> np.ndarray:
+    mul, xor = _hashes(draw)
     out = np.empty((len(first), T), np.uint32)
     for j in range(T):
-        v = flatset ^ _XOR[j]
-        v *= _MUL[j]
+        v = flatset ^ xor[j]
+        v *= mul[j]
         out[:, j] = np.minimum.reduceat(v, first)
     return out
 
@@ -75,6 +82,20 @@ def shingle_sets(docs: DataFrame, n: int) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id IS NOT NULL").mapInArrow(_sets(n), _SETS)
 
 
+def _redrawn(draw: int):
+    """The signatures of sets by other coordinates."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lo in range(0, batch.num_rows, 500):
+                part = batch.slice(lo, 500)
+                sets = [np.frombuffer(m, np.uint32) for m in part.column("members").to_pylist()]
+                first = np.cumsum([0] + [len(x) for x in sets[:-1]])
+                yield pa.RecordBatch.from_arrays([part.column("rid"), pa.array([x.tobytes() for x in _signatures(np.concatenate(sets), first, draw)], pa.binary())], ["rid", "sig"])
+
+    return run
+
+
 def _choices(path: int, threshold: float) -> list[int]:
     """The coordinates by which a node of the tree is split; 1 / threshold of them on average, one at least."""
     rng = np.random.default_rng(path & 0xFFFFFFFFFFFFFFFF)
@@ -223,7 +244,7 @@ def _verify(threshold: float):
 def _round(reps: DataFrame, runs: list[int], threshold: float, small: int, most: int, task_rows: int) -> DataFrame:
     """(home, a, b) for each run that brings a pair of records into one bucket."""
     sigma = (threshold * (1 - threshold) / T) ** 0.5
-    need = int(T * (threshold + (1 - threshold) / 256 - 2.5 * sigma))
+    need = max(1, int(T * (threshold + (1 - threshold) / 256 - SURE * sigma)))
     rows = reps.select("rid", "sig").mapInArrow(_roots(runs, threshold), _PATH)
     done = None
     for _ in range(most):
@@ -245,65 +266,77 @@ def _verified(cand: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
     needed = pairs.select("home", F.explode(F.array("a", "b")).alias("rid")).distinct()
     members = needed.join(sets.select("rid", "members"), "rid").select("home", F.lit(0).alias("kind"), F.col("rid").alias("a"), F.lit(None).cast("long").alias("b"), F.lit(None).cast("long").alias("found"), "members")
     both = members.unionByName(pairs.select("home", F.lit(1).alias("kind"), "a", "b", "found", F.lit(None).cast("binary").alias("members")))
-    return both.repartition(2 * partitions(spark), "home").sortWithinPartitions("home", "kind").mapInArrow(_verify(threshold), "a long, b long, found long, jaccard double")
+    near = written(both.repartition(2 * partitions(spark), "home").sortWithinPartitions("home", "kind").mapInArrow(_verify(threshold), "a long, b long, found long, jaccard double"), "near")
+    drop_written(pairs)
+    return near
 
 
-def near_sets(docs: DataFrame, n: int = 3, threshold: float = 0.6, recall: float = 0.95, runs: int = 6, small: int = 48, most: int = 8, task_rows: int = 200_000, rounds: int = 8) -> tuple[DataFrame, DataFrame]:
-    """(rid, doc_id) of every document, and (a, b, jaccard) of the near pairs of different sets; see ngram_jaccard_pairs()."""
+def near_sets(docs: DataFrame, n: int = 3, threshold: float = 0.6, recall: float = 0.95, runs: int = 6, small: int = 48, most: int = 8, task_rows: int = 200_000) -> tuple[DataFrame, DataFrame]:
+    """(rid, doc_id) of every document, and (a, b, jaccard) of the near pairs of different sets; see ngram_jaccard_classes()."""
     sets = written(shingle_sets(docs, n), "sets")
-    one = sets.groupBy("rid").agg(F.first("sig").alias("sig"))
     # Records of one set are the same to the last byte: any may stand for all.
+    one = sets.groupBy("rid").agg(F.first("sig").alias("sig"))
     reps = sets.select("rid", "members").dropDuplicates(["rid"])
-    cand, seen = None, []
-    for r in range(rounds):
-        new = _round(one, list(range(r * runs, (r + 1) * runs)), threshold, small, most, task_rows)
-        seen.append(written(new, "found"))
-        cand = functools.reduce(DataFrame.unionByName, seen)
-        near = written(_verified(cand, reps, threshold), "near")
+    seen, near, r = [], None, 0
+    while True:
+        # Other coordinates in each round, so that a pair that is hard to find by one draw is not so by the next.
+        records = written(reps.mapInArrow(_redrawn(r), "rid long, sig binary"), "signatures") if r else one
+        seen.append(written(_round(records, list(range(r * runs, (r + 1) * runs)), threshold, small, most, task_rows), "found"))
+        before, near = near, _verified(functools.reduce(DataFrame.unionByName, seen), reps, threshold)
+        drop_written(*([before] if before is not None else []), *([records] if r else []))
         total, once, twice = near.select(F.count("*"), F.count_if(F.col("found") == 1), F.count_if(F.col("found") == 2)).first()
         missed = once * once / (2 * twice) if twice else once * (once - 1) / 2
         if total >= recall * (total + missed):
             break
-    return sets.select("rid", "doc_id").distinct(), near.select("a", "b", "jaccard")
+        r += 1
+    members = written(sets.select("rid", "doc_id").distinct(), "members")
+    drop_written(sets, *seen)
+    return members, near.select("a", "b", "jaccard")
 
 
-def star_pairs(docs: DataFrame, **options) -> DataFrame:
-    """(id_a, id_b) that connect what ngram_jaccard_pairs() connects, with one row for a copy: to its set's least doc_id, and near pairs between those."""
-    members, near = near_sets(docs, **options)
+def star_pairs(members: DataFrame, near: DataFrame) -> DataFrame:
+    """(id_a, id_b), from near_sets(): one row for a copy, to its set's least doc_id, and the near pairs between those."""
     groups = members.groupBy("rid").agg(F.min("doc_id").alias("id"))
     a, b = (groups.select(F.col("rid").alias(x), F.col("id").alias(f"id_{x}")) for x in "ab")
     copies = members.join(groups, "rid").select(F.col("id").alias("id_a"), F.col("doc_id").alias("id_b"))
     return near.join(a, "a").join(b, "b").select("id_a", "id_b").unionByName(copies).where("id_a <> id_b")
 
 
-def ngram_jaccard_pairs(docs: DataFrame, n: int = 3, threshold: float = 0.6, recall: float = 0.95, runs: int = 6, small: int = 48, most: int = 8, task_rows: int = 200_000, rounds: int = 8) -> DataFrame:
-    """Pairs of documents whose sets of word n-grams have a Jaccard index of threshold or more.
+def ngram_jaccard_classes(docs: DataFrame, n: int = 3, threshold: float = 0.6, recall: float = 0.95, runs: int = 6, small: int = 48, most: int = 8, task_rows: int = 200_000) -> DataFrame:
+    """For each document its class of near duplicates, and to how many others it is linked.
 
-    docs: doc_id BIGINT and text; other columns are not read. Words are maximal runs of
+    docs: doc_id BIGINT and text; other columns are not read. Two documents are linked if
+    their sets of word n-grams have a Jaccard index of threshold or more. Words are maximal runs of
     letters and digits of the lower-cased text (every character beyond ASCII counts as a
     letter); a text under n words has one n-gram, of all its words.
 
-    Chosen-path join: in each run all records are split by the values of sampled
+    Chosen-path join: in each run all distinct sets are split by the values of sampled
     coordinates of their min-hash signatures, 1 / threshold of them at each node on average; nodes
-    of at most `small` records, `most` splits deep, or alike throughout are compared by brute
-    force, and nodes over `task_rows` are split before their records meet. Candidates whose
-    signatures agree well enough have their exact index computed. After each round of `runs`
-    runs, how often pairs were found tells how many were missed (Chao's estimate); rounds
-    repeat until the estimated recall is `recall` (at most `rounds`). The index is exact but
-    for collisions of 32-bit n-gram hashes.
-
-    Returns (id_a, id_b, jaccard) with id_a < id_b: all pairs within a set, with index 1, and
-    those between all members of two sets that are found. A set of m documents alone gives
-    m (m - 1) / 2 rows; keep_one_per_group() goes by star_pairs() instead.
-
-    Rows without a doc_id, and texts without a word (null and empty ones too), give no pair;
-    rows that repeat a doc_id never pair with it; an empty table gives no rows.
+    of at most `small` sets, `most` splits deep, or alike throughout are compared by brute
+    force, and nodes over `task_rows` are split before their sets meet. Candidates have their
+    exact index computed, but for those whose signatures agree SURE standard deviations less than
+    expected. After each round of `runs` runs, each round with coordinates of its own, how often pairs were found
+    tells how many were missed (Chao's estimate); rounds repeat until the estimated recall
+    is `recall`. The index is exact but for collisions of 32-bit n-gram hashes.
+
+    Returns one row (doc_id, class_id, links) for each doc_id: class_id is the least doc_id
+    that it is linked to directly or through others, itself if there is none; links is the
+    number of linked documents, copies of its own text and of those linked to it
+    included. Documents of one set share all their links, so pairs are sought between sets and never written out for copies.
+
+    Rows without a doc_id give none; texts without a word (null and empty ones too) have no
+    links; exactly repeated rows count once, and a doc_id of several texts has the links of
+    all of them; an empty table gives no rows.
     """
-    members, near = near_sets(docs, n, threshold, recall, runs, small, most, task_rows, rounds)
-    a, b = (members.select(F.col("rid").alias(x), F.col("doc_id").alias(f"id_{x}")) for x in "ab")
-    found = near.join(a, "a").join(b, "b").select(F.least("id_a", "id_b").alias("id_a"), F.greatest("id_a", "id_b").alias("id_b"), "jaccard")
-    same = a.join(b, F.col("a") == F.col("b")).select("id_a", "id_b", F.lit(1.0).alias("jaccard"))
-    return found.unionByName(same).where("id_a < id_b").groupBy("id_a", "id_b").agg(F.max("jaccard").alias("jaccard"))
+    members, near = near_sets(docs, n, threshold, recall, runs, small, most, task_rows)
+    size = members.groupBy("rid").agg(F.count("*").alias("size"))
+    ways = near.select("a", "b").unionByName(near.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    more = ways.join(size, F.col("b") == F.col("rid")).groupBy("a").agg(F.sum("size").alias("more"))
+    per_set = size.join(more, F.col("rid") == F.col("a"), "left").select("rid", (F.col("size") - 1 + F.coalesce("more", F.lit(0))).alias("links"))
+    links = members.join(per_set, "rid").groupBy("doc_id").agg(F.sum("links").alias("links"))
+    groups = components(star_pairs(members, near))
+    ids = docs.select(F.col("doc_id").cast("long").alias("doc_id")).where("doc_id IS NOT NULL").distinct()
+    return ids.join(links, "doc_id", "left").join(groups, "doc_id", "left").select("doc_id", F.coalesce("group_id", "doc_id").alias("class_id"), F.coalesce("links", F.lit(0)).cast("long").alias("links"))
 
 
 def components(pairs: DataFrame) -> DataFrame:
@@ -311,6 +344,8 @@ def components(pairs: DataFrame) -> DataFrame:
 
     Alternates hooking every neighbour of a node to its least one with the same for the
     smaller neighbours alone, until nothing changes; each step is written to the shared folder.
+    Rows with a null on either side, and of an id with itself, connect nothing; repeated rows
+    count once, and no rows give none.
     """
     edges = pairs.select(F.greatest("id_a", "id_b").alias("u"), F.least("id_a", "id_b").alias("v")).where("u <> v").distinct()
     edges = written(edges, "edges")
@@ -322,7 +357,9 @@ def components(pairs: DataFrame) -> DataFrame:
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("e")).select("e.u", "e.v").where("u <> v").distinct()
         small = written(small, "edges")
+        drop_written(large)
         now, before = (x.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first() for x in (small, edges))
+        drop_written(edges)
         edges = small
         if now == before:
             break
@@ -332,13 +369,9 @@ def components(pairs: DataFrame) -> DataFrame:
 def keep_one_per_group(docs: DataFrame, **options) -> DataFrame:
     """docs without the documents that are joined, directly or through others, to one of smaller doc_id.
 
-    The result has the columns and rows of docs otherwise; rows without a doc_id, and texts
-    without a word, stay.
+    The result has the columns and rows of docs otherwise, whatever their names; rows without a doc_id, and texts
+    without a word, stay; rows that repeat a doc_id stay or go together; an empty table gives no rows.
     """
-    groups = components(star_pairs(docs, **options))
+    groups = components(star_pairs(*near_sets(docs, **options)))
     gone = groups.where("doc_id <> group_id").select(F.col("doc_id").cast(docs.schema["doc_id"].dataType).alias("doc_id"))
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
-
-
-def pairs_query(spark: SparkSession, docs: DataFrame) -> DataFrame:
-    return ngram_jaccard_pairs(docs)
+    return docs.join(gone, "doc_id", "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])

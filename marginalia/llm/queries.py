@@ -43,7 +43,7 @@ def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard.ngram_jaccard_pairs(documents(spark, sf_dir))
+    return jaccard.ngram_jaccard_classes(documents(spark, sf_dir))
 
 
 def op9_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -36,8 +36,8 @@ OPS = {
     "lines": lambda s, d: lines.repeated_lines(d),
     "dedupe_lines": lambda s, d: lines.dedupe_lines(d),
     "bpe": lambda s, d: bpe.encode(d, verify=True),
-    "jaccard": lambda s, d: jaccard.ngram_jaccard_pairs(d, rounds=1, runs=2),
-    "one_per_group": lambda s, d: jaccard.keep_one_per_group(d, rounds=1, runs=2),
+    "jaccard": lambda s, d: jaccard.ngram_jaccard_classes(d),
+    "one_per_group": lambda s, d: jaccard.keep_one_per_group(d),
     "quality": lambda s, d: quality.scored(d, labels(s)),
     "urls": lambda s, d: urls.filter_urls(d.select(F.col("doc_id").alias("page_id"), F.col("text").alias("url"), *EXTRA), urls.rules_table(s)),
     "images": lambda s, d: images.image_copies(d.drop("content").select(F.col("doc_id").alias("media_id"), F.col("text").cast("binary").alias("content"), *[c for c in EXTRA if c != "content"])),

@@ -233,13 +233,21 @@ def test_pairs_reach_recall(spark):
     docs.append((i, docs[0][1]))
     sets = {d: {tuple(t.split()[k : k + 3]) for k in range(len(t.split()) - 2)} for d, t in docs}
     want = {(a, b) for a in sets for b in sets if a < b and len(sets[a] & sets[b]) >= 0.6 * len(sets[a] | sets[b])}
-    got = {(r.id_a, r.id_b): r.jaccard for r in jaccard.ngram_jaccard_pairs(spark.createDataFrame(docs, DOC)).collect()}
-    copy = (0, i)
-    assert copy in got and set(got) <= want
-    through = {p for p in want if i not in p or p == copy}  # pairs of a copy are given through its first
-    assert len(set(got) & through) >= 0.9 * len(through)
+    members, near = jaccard.near_sets(spark.createDataFrame(docs, DOC))
+    ids = {}
+    for r in members.collect():
+        ids.setdefault(r.rid, []).append(r.doc_id)
+    got = {(min(x, y), max(x, y)): r.jaccard for r in near.collect() for x in ids[r.a] for y in ids[r.b]} | {(min(m), max(m)): 1.0 for m in ids.values() if len(m) > 1}
+    assert (0, i) in got and set(got) <= want and len(got) >= 0.95 * len(want)
     for (a, b), j in got.items():
         assert j == pytest.approx(len(sets[a] & sets[b]) / len(sets[a] | sets[b]))
+    # Classes and links against brute force over the same documents.
+    rows = {r.doc_id: (r.class_id, r.links) for r in jaccard.ngram_jaccard_classes(spark.createDataFrame(docs, DOC)).collect()}
+    root = {d: d for d in sets}
+    for _ in sets:
+        for a, b in got:
+            root[a] = root[b] = min(root[a], root[b])
+    assert rows == {d: (root[d], sum(d in p for p in got)) for d in sets}
 
 
 def test_components(spark):

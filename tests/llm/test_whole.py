@@ -12,16 +12,21 @@ def test_every_copy_has_all_its_partners(spark):
     rng = random.Random(12)
     text = words(rng, 60, 5000)
     docs = [(i, text) for i in (1, 5, 9)] + [(i, text + " other") for i in (7, 11)] + [(3, words(rng, 60, 5000)), (4, None), (5, text)]
-    near = 58 / 59
-    got = {(r.id_a, r.id_b): r.jaccard for r in jaccard.ngram_jaccard_pairs(spark.createDataFrame(docs, DOC)).collect()}
-    alike = [(1, 5), (1, 9), (5, 9), (7, 11)]
-    assert got == dict.fromkeys(alike, 1.0) | {(min(a, b), max(a, b)): near for a in (1, 5, 9) for b in (7, 11)}
+    members, near = jaccard.near_sets(spark.createDataFrame(docs, DOC))
+    ids = {}
+    for r in members.collect():
+        ids.setdefault(r.rid, set()).add(r.doc_id)
+    assert sorted(map(sorted, ids.values())) == [[1, 5, 9], [3], [7, 11]]
+    assert [({*ids[r.a], *ids[r.b]}, r.jaccard) for r in near.collect()] == [({1, 5, 7, 9, 11}, 58 / 59)]
+    got = {r.doc_id: (r.class_id, r.links) for r in jaccard.ngram_jaccard_classes(spark.createDataFrame(docs, DOC)).collect()}
+    assert got == dict.fromkeys((1, 5, 7, 9, 11), (1, 4)) | {3: (3, 0), 4: (4, 0)}
 
 
 def test_copies_are_joined_by_a_star(spark):
     docs = spark.createDataFrame([(i, "one text of a few words") for i in range(40)] + [(50, "another text of other words")], DOC)
-    assert jaccard.star_pairs(docs).count() == 39
+    assert jaccard.star_pairs(*jaccard.near_sets(docs)).count() == 39
     assert {r.doc_id for r in jaccard.keep_one_per_group(docs).collect()} == {0, 50}
+    assert {tuple(r) for r in jaccard.ngram_jaccard_classes(docs).collect()} == {(i, 0, 39) for i in range(40)} | {(50, 50, 0)}
 
 
 def test_labels_beyond_the_sample_choose_cutoffs(spark):
