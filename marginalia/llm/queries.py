@@ -19,7 +19,8 @@ def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
-    return toxicity.toxic_documents(docs, stems=toxicity.learn_stems(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
+    stems, ordinary = toxicity.learn_lexicon(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return toxicity.toxic_documents(docs, stems=stems, ordinary=toxicity.ORDINARY.union(ordinary))
 
 
 def op3_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:

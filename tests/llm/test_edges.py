@@ -29,7 +29,7 @@ def labels(spark):
 
 OPS = {
     "substring": lambda s, d: substring.repeated_spans(d),
-    "toxicity": lambda s, d: toxicity.toxic_documents(d, stems=toxicity.learn_stems(d, labels(s))),
+    "toxicity": lambda s, d: toxicity.toxic_documents(d, stems=toxicity.learn_lexicon(d, labels(s))[0]),
     "sharding": lambda s, d: sharding.shard(d, 3),
     "mixing": lambda s, d: mixing.rates(d, {"source": 0.5, "lang": 0.5}),
     "mixed": lambda s, d: mixing.mixed(d, {"source": 0.5}, floor=1.0),

@@ -76,9 +76,61 @@ def test_automaton_equals_edit_distance():
         word = "".join(word)
         if not word:
             continue
-        found = [(d, t) for t in toxicity.SEEDS if t[0] == word[0] and (d := distance(word, t)) <= toxicity.allowed(t)]
+        found = [(d, t) for t in toxicity.SEEDS if (d := distance(word, t)) <= toxicity.allowed(t)]
         got = lexicon.match(word)
         assert (got and got[::-1]) == (min(found) if found else None), word
+        assert lexicon.look(word) == lexicon.match(word.strip("'_")), word
+
+
+def test_stems_are_met_with_their_edits():
+    rng = random.Random(3)
+    stems = {"abcdef": 1, "bcdabcda": 2, "fade": 0, "cabbed": 0}
+    lexicon = toxicity.Lexicon((), stems)
+    hits = 0
+    for _ in range(6000):
+        word = "".join(rng.choice("abcdef") for _ in range(rng.randrange(1, 12)))
+        if rng.random() < 0.5:
+            own = list(rng.choice(list(stems)))
+            own[rng.randrange(len(own))] = rng.choice(["", "a", "f"])
+            word = "".join(own) + word[:4]
+        want = [(d, s) for s, e in stems.items() if (d := min(distance(word[:n], s) for n in range(len(word) + 1))) <= e]
+        hits += bool(want)
+        assert lexicon.look(word) == (min(want)[::-1] if want else None), word
+    assert hits > 500
+
+
+def test_learning_spares_clean_words(spark):
+    rng = random.Random(14)
+    toxic = [(i, words(rng, 20, 200) + " horribilus " + words(rng, 20, 200) + " vilemente") for i in range(120)]
+    clean = [(1000 + i, words(rng, 40, 200) + " vilement idiom") for i in range(300)]
+    docs = spark.createDataFrame(toxic + clean, DOC)
+    labels = spark.createDataFrame([(i, int(i < 1000)) for i, _ in toxic + clean], "doc_id long, toxic int")
+    stems, ordinary = toxicity.learn_lexicon(docs, labels)
+    assert len(stems) == 2 and stems[next(s for s in stems if s[0] == "h")] > 0 and stems[next(s for s in stems if s[0] == "v")] == 0
+    assert ordinary == ["idiom"]  # one edit from a seed, but in clean documents
+    new = spark.createDataFrame([(1, "x y horribulus z"), (2, "an idiom is fine"), (3, "you are all idjots"), (4, "what a horibilus thing"), (5, None)], DOC)
+    got = {r.doc_id for r in toxicity.toxic_documents(new, stems=stems, ordinary=ordinary).collect()}
+    assert got == {1, 3, 4}
+
+
+def test_scores_equal_a_plain_reading():
+    # The score of a text, from its hits' weights alone.
+    lexicon = toxicity.Lexicon(toxicity.SEEDS)
+    for text, weights in {
+        "such an idiot there": [0.9],
+        "you idiot": [0.9 * 1.2],
+        "you id1ots and morrons": [0.9 * 1.2, 0.88 * 1.2],
+        'he called it "scum" there': [0.9 / 3 / 2],
+        "it is not scum": [0.9 * 0.6],
+        "“what a most horrid loser” is here": [0.9 / 3],
+        "patetik person": [0.8],
+        "a fine day": [],
+    }.items():
+        clean = 1.0
+        for w in weights:
+            clean *= 1 - min(w, 0.99)
+        score, hits, _ = toxicity.weigh(text, lexicon)
+        assert (score, hits) == (pytest.approx(1 - clean), len(weights)), text
 
 
 def test_quotation_counts_less_than_abuse():
@@ -93,7 +145,8 @@ def test_toxic_labels_are_found(spark):
     docs, labels = spark.read.parquet(f"{d}/documents.parquet"), spark.read.parquet(f"{d}/labels.parquet")
     known = {r.doc_id: r.toxic for r in labels.collect()}
     train = labels.where("doc_id % 2 = 0")
-    got = {r.doc_id for r in toxicity.toxic_documents(docs, stems=toxicity.learn_stems(docs, train)).collect()}
+    stems, ordinary = toxicity.learn_lexicon(docs, train)
+    got = {r.doc_id for r in toxicity.toxic_documents(docs, stems=stems, ordinary=toxicity.ORDINARY.union(ordinary)).collect()}
     held = {i: t for i, t in known.items() if i % 2}
     bad, good = [i for i, t in held.items() if t], [i for i, t in held.items() if not t]
     # A good part of the toxic labels is noise: those texts hold no word of abuse at all.
@@ -106,8 +159,8 @@ def test_toxic_labels_are_found(spark):
 
 
 def test_url_rules(spark):
-    rules = spark.createDataFrame([(1, "a.com/", "block", 1), (2, "a.com/x/", "allow", 1), (3, "b.a.com/", "block", 0), (4, "c.org/p?q=1", "block", 1), (5, "1.2.3.4/", "block", 1), (6, "com/", "block", 9), (7, None, "block", 9), (8, "d.org/", "block", None), (9, "d.org/", "allow", None)], "rule_id long, expression string, action string, priority int")
-    want = {"http://A.com:80/y": 1, "https://u@b.a.com/x/y#f": 2, "//b.a.com/q": 1, "http://nota.com/": None, "c.org/p?q=1": 4, "c.org/p?q=2": None, "http://1.2.3.4/z": 5, "http://1.2.3.4.com/": None, "http://a.com/z/../x/": 2, "http://a..com/./x/1": 2, "": None, None: None, "http:///p": None, "d.org": 9}
+    rules = spark.createDataFrame([(1, "a.com/", "block", 1), (2, "a.com/x/", "allow", 1), (3, "b.a.com/", "block", 0), (4, "c.org/p?q=1", "block", 1), (5, "1.2.3.4/", "block", 1), (6, "com/", "block", 9), (7, None, "block", 9), (8, "d.org/", "block", None), (9, "d.org/", "allow", None), (10, "u.v.w.x.y.e.net/", "block", 1), (11, "f.net/1/2/3/4/5/", "block", 1)], "rule_id long, expression string, action string, priority int")
+    want = {"http://A.com:80/y": 1, "https://u@b.a.com/x/y#f": 2, "//b.a.com/q": 1, "http://nota.com/": None, "c.org/p?q=1": 4, "c.org/p?q=2": None, "http://1.2.3.4/z": 5, "http://1.2.3.4.com/": None, "http://a.com/z/../x/": 2, "http://a..com/./x/1": 2, "": None, None: None, "http:///p": None, "d.org": 9, "http://u.v.w.x.y.e.net/": 10, "http://t.u.v.w.x.y.e.net/q": 10, "http://v.w.x.y.e.net/": None, "http://f.net/1/2/3/4/5/6?q": 11, "http://f.net/1/2/3/4": None, "http://f.net/" + "a/" * 20 + "../" * 20 + "1/2/3/./4/5/x": 11, "http://f.net/../../1/2/3/4/5/..": None}
     pages = spark.createDataFrame([(i, u) for i, u in enumerate(want)], "page_id long, url string")
     assert {r.url: r.rule_id for r in urls.filter_urls(pages, rules).collect()} == want
 
