@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import base64
+import functools
+import heapq
 from collections.abc import Iterator
 
 import numpy as np
@@ -18,6 +20,8 @@ PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}++| ?\p{N}++| ?[^\s\p{L}\p{N}]++|\s++$|\
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: Pieces that a worker remembers; when full, it starts anew.
 REMEMBERED = 400_000
+#: Bytes from which a piece is merged alone, by a heap.
+LONG = 1_000
 _NONE = np.iinfo(np.int64).max
 
 
@@ -51,9 +55,52 @@ class Vocabulary:
         at[at == len(self.keys)] = 0
         return np.where(self.keys[at] == key, self.ranks[at], _NONE)
 
+    def merge_long(self, piece: bytes) -> np.ndarray:
+        """Tokens of one long piece; a heap holds its pairs, so that the time is n log n."""
+        rank = self._rank_of
+        sym: list = self.single[np.frombuffer(piece, np.uint8)].tolist()
+        n = len(sym)
+        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+        # Pairs by rank, then place; one whose symbols have changed since is passed over.
+        heap = [(r, i, sym[i], sym[i + 1]) for i in range(n - 1) if (r := rank.get(sym[i] << 32 | sym[i + 1])) is not None]
+        heapq.heapify(heap)
+        while heap:
+            r, i, a, b = heapq.heappop(heap)
+            j = after[i]
+            if sym[i] != a or j >= n or sym[j] != b:
+                continue
+            sym[i], sym[j] = r, None
+            k = after[i] = after[j]
+            if k < n:
+                before[k] = i
+                if (x := rank.get(r << 32 | sym[k])) is not None:
+                    heapq.heappush(heap, (x, i, r, sym[k]))
+            h = before[i]
+            if h >= 0 and (x := rank.get(sym[h] << 32 | r)) is not None:
+                heapq.heappush(heap, (x, h, sym[h], r))
+        return np.array([x for x in sym if x is not None], np.int64)
+
+    @functools.cached_property
+    def _rank_of(self) -> dict[int, int]:
+        return dict(zip(self.keys.tolist(), self.ranks.tolist()))
+
     def merge(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Tokens of all pieces in one flat array, and how many each has.
 
+        Pieces of LONG bytes or more, which would need as many rounds, are merged one by one.
+        """
+        long = [i for i, p in enumerate(pieces) if len(p) >= LONG]
+        if not long:
+            return self._merge_short(pieces)
+        flat, n = self._merge_short([b"" if len(p) >= LONG else p for p in pieces])
+        alone = [self.merge_long(pieces[i]) for i in long]
+        at = np.append(0, np.cumsum(n))[long]
+        n[long] = [len(x) for x in alone]
+        return np.insert(flat, np.repeat(at, n[long]), np.concatenate(alone)), n
+
+    def _merge_short(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """merge() of short pieces, all at once.
+
         In every round each unfinished piece has its leftmost pair of lowest rank merged.
         Only the ranks of pairs next to a merge are looked up again.
         """
@@ -165,7 +212,8 @@ def encode(docs: DataFrame, vocabulary: str = VOCABULARY, pattern: str = PATTERN
 
     vocabulary: path of a file of base64 tokens and ranks, which must hold all single bytes.
     tokens equal those of sequential byte-pair merging of each piece that pattern finds,
-    lowest rank first, leftmost on ties. An empty text has no tokens; a null text has null
+    lowest rank first, leftmost on ties, however long the piece. Rows without a doc_id and repeated
+    rows are encoded like others; an empty table gives no rows. An empty text has no tokens; a null text has null
     tokens and n_tokens 0. Text of special tokens is ordinary text. With verify, the column decodes tells
     whether the tokens decode to the very bytes of the text (null for a null text).
     """
