@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from marginalia.llm.common import partitions, written
+from marginalia.llm.common import written
 
 
 def differencing(parts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -74,14 +74,15 @@ def _combine(shards: int):
     return run
 
 
-def assign(units: DataFrame, shards: int, fan_in: int = 512) -> DataFrame:
+def assign(units: DataFrame, shards: int, fan_in: int = 512, group_cells: int = 1 << 20) -> DataFrame:
     """(unit, bytes, shard) for units (unit BIGINT, distinct; bytes BIGINT).
 
-    Each task differences its own units into one partial partition; then up to fan_in
-    partial partitions at a time are differenced further, until there is one.
+    Groups of units, as many as keep group_cells units times shards in each, are differenced
+    into one partial partition each; then up to fan_in of those at a time are differenced
+    further, until there is one. A null unit is one like others, null bytes are none; no units give no rows.
     """
-    spark = units.sparkSession
-    n = partitions(spark)
+    units = written(units.select("unit", F.coalesce("bytes", F.lit(0)).alias("bytes")), "sizes")
+    n = max(1, -(-units.count() * shards // group_cells))
     local = written(units.withColumn("part", F.pmod(F.xxhash64("unit"), F.lit(n)).cast("int")).groupBy("part").applyInPandas(_local(shards), "part int, bin int, unit long, bytes long"), "units")
     sums = local.groupBy("part", "bin").agg(F.sum("bytes").alias("bytes"))
     at = local.select("part", "bin").distinct().select("part", "bin", F.col("part").alias("now"), F.col("bin").alias("shard"))
