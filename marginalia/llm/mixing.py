@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import warnings
+
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -17,38 +19,44 @@ def tokens(docs: DataFrame) -> Column:
     return F.greatest(F.lit(1), F.size(F.split(F.trim(F.coalesce(F.col("text"), F.lit(""))), r"\s+"))).cast("long")
 
 
+def _value(column: str) -> Column:
+    return F.coalesce(F.col(f"`{column}`").cast("string"), F.lit(""))
+
+
 def _cells(docs: DataFrame, by: list[str], size: Column) -> DataFrame:
-    """Tokens of each combination of constraint values: all that the dual needs to know."""
-    return docs.groupBy(*[F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in by]).agg(F.sum(size).cast("double").alias("tokens"))
+    """(v_0, v_1, ..., tokens): tokens of each combination of the constrained columns' values, all that the dual needs to know."""
+    return docs.select(*[_value(c).alias(f"v_{i}") for i, c in enumerate(by)], size.alias("tokens")).groupBy(*[f"v_{i}" for i in range(len(by))]).agg(F.sum("tokens").cast("double").alias("tokens"))
 
 
-def _shares(cells: DataFrame, column: str, weights: dict[str, float] | float) -> dict[str, float]:
+def _shares(cells: DataFrame, value: str, weights: dict[str, float] | float) -> dict[str, float]:
     """Target shares of a column's values; a number is the exponent by which the corpus' own shares are flattened."""
-    have = {r[0]: r[1] for r in cells.groupBy(column).agg(F.sum("tokens")).collect()}
+    have = {r[0]: r[1] for r in cells.groupBy(value).agg(F.sum("tokens")).collect()}
     want = {v: (weights.get(v, 0.0) if isinstance(weights, dict) else n**weights) for v, n in have.items()}
     total = sum(want.values())
     return {v: (x / total if total else n / sum(have.values())) for (v, x), n in zip(want.items(), have.values())}
 
 
-def balance(cells: DataFrame, targets: dict[str, dict[str, float]], steps: int = 50, tolerance: float = 1e-6, ridge: float = 1e-9) -> dict[str, dict[str, float]]:
+def balance(cells: DataFrame, targets: list[dict[str, float]], steps: int = 50, tolerance: float = 1e-6, ridge: float = 1e-9) -> list[dict[str, float]]:
     """The dual's multipliers, one for each value of each constrained column.
 
     Minimises sum(tokens * exp(l(v1) + l(v2) + ...)) / total - sum(share * l) by Newton's
     method with step halving; each iteration's value, gradient and Hessian are sums over
-    the cells, computed by Spark in one aggregate. Values of share 0 are left out of the
-    dual: their rate is 0. At the optimum the tilted tokens have the target shares.
+    the cells, computed by Spark in one aggregate. The driver holds a matrix of as many rows and
+    columns as there are values. Values of share 0 are left out of the
+    dual: their rate is 0. At the optimum the tilted tokens have the target shares; a warning
+    tells by how much they miss them where `steps` end before that, as with targets that contradict each other.
     """
     spark = cells.sparkSession
-    by = list(targets)
+    by = range(len(targets))
     keys = [(c, v) for c in by for v, s in targets[c].items() if s > 0]
     if not keys:
-        return {c: {} for c in by}
+        return [{} for _ in by]
     index = {k: i for i, k in enumerate(keys)}
     share = np.array([targets[c][v] for c, v in keys])
     total = cells.agg(F.sum("tokens")).first()[0] or 1.0
     for c in by:
-        at = spark.createDataFrame([(v, index[c, v]) for v, s in targets[c].items() if s > 0], f"`{c}` string, `i_{c}` int")
-        cells = cells.join(at, c)
+        at = spark.createDataFrame([(v, index[c, v]) for v, s in targets[c].items() if s > 0], f"v_{c} string, i_{c} int")
+        cells = cells.join(at, f"v_{c}")
     lam = np.zeros(len(keys))
 
     def tilted(x: np.ndarray) -> DataFrame:
@@ -61,7 +69,7 @@ def balance(cells: DataFrame, targets: dict[str, dict[str, float]], steps: int =
         for i, j, w in pairs:
             hess[i, j] = w
         grad = np.diag(hess).copy()
-        return grad[: len([k for k in keys if k[0] == by[0]])].sum() - share @ x, grad - share, hess
+        return grad[: len([k for k in keys if k[0] == 0])].sum() - share @ x, grad - share, hess
 
     value, grad, hess = moments(lam)
     for _ in range(steps):
@@ -76,7 +84,9 @@ def balance(cells: DataFrame, targets: dict[str, dict[str, float]], steps: int =
             size /= 2
         lam = lam + size * step
         value, grad, hess = new
-    return {c: {v: float(lam[index[c, v]]) for v, s in targets[c].items() if s > 0} for c in by}
+    if np.abs(grad).max() > tolerance:
+        warnings.warn(f"the token shares miss their targets by up to {np.abs(grad).max():.2g}", stacklevel=2)
+    return [{v: float(lam[index[c, v]]) for v, s in targets[c].items() if s > 0} for c in by]
 
 
 def rates(docs: DataFrame, targets: dict[str, dict[str, float] | float], budget: float | None = None, floor: float | None = None, **options) -> DataFrame:
@@ -93,39 +103,36 @@ def rates(docs: DataFrame, targets: dict[str, dict[str, float] | float], budget:
     repeat both get the same number. A null or empty text has one token; an empty table gives no rows.
     """
     rows = _rated(docs, targets, budget, floor, **options)
-    new = {"tokens": "__tokens", "rate": "__rate", "copies": "__copies"}
-    return rows.withColumns({k: F.col(v) for k, v in new.items()}).drop(*new.values())
+    own = [c for c in docs.columns if c not in ("tokens", "rate", "copies")]
+    return rows.select(*[F.col(f"row.`{c}`").alias(c) for c in own], F.col("size").alias("tokens"), "rate", "copies")
 
 
 def _rated(docs: DataFrame, targets: dict[str, dict[str, float] | float], budget: float | None, floor: float | None, **options) -> DataFrame:
+    """(row, size, rate, copies), row being all columns of docs, so that none can clash with the others."""
     by = list(targets)
     cells = written(_cells(docs, by, tokens(docs)), "cells")
-    want = {c: _shares(cells, c, w) for c, w in targets.items()}
-    lam = balance(cells, want, **options)
+    lam = balance(cells, [_shares(cells, f"v_{i}", w) for i, w in enumerate(targets.values())], **options)
     spark = docs.sparkSession
-    rate = F.lit(1.0)
     rated = cells
-    for c in by:
-        rated = rated.join(spark.createDataFrame(list(lam[c].items()), f"`{c}` string, `l_{c}` double"), c, "left")
-    rated = rated.withColumn("rate", F.coalesce(F.exp(sum(F.col(f"l_{c}") for c in by)), F.lit(0.0)))
+    for i in range(len(by)):
+        rated = rated.join(spark.createDataFrame(list(lam[i].items()), f"v_{i} string, l_{i} double"), f"v_{i}", "left")
+    rated = rated.withColumn("rate", F.coalesce(F.exp(sum(F.col(f"l_{i}") for i in range(len(by)))), F.lit(0.0)))
     spent, total, least, n = rated.agg(F.sum(F.col("rate") * F.col("tokens")), F.sum("tokens"), F.min(F.when(F.col("rate") > 0, F.col("rate"))), F.count("*")).first()
     scale = floor / least if floor and least else (budget or total or 1.0) / spent if spent else 1.0
     # Cells are as many as the combinations of values that occur. While they are few they travel to the
     # documents, whose hot sources then need not meet in one task; beyond that both sides are shuffled.
-    rated = rated.select(*[F.col(c).alias(f"__{c}") for c in by], (F.col("rate") * scale).alias("__rate"))
+    rated = rated.select(*[F.col(f"v_{i}").alias(f"of_{i}") for i in range(len(by))], (F.col("rate") * scale).alias("rate"))
     rated = F.broadcast(rated) if n <= FEW_CELLS else rated
-    on = [F.coalesce(F.col(c).cast("string"), F.lit("")) == F.col(f"__{c}") for c in by]
-    cond = on[0]
-    for x in on[1:]:
-        cond = cond & x
-    rate = F.col("__rate")
-    u = F.pmod(F.xxhash64(F.col("doc_id"), F.col("text"), F.lit("copies")), F.lit(1 << 40)) / float(1 << 40)
-    whole = F.floor(rate + 1e-9)  # a rate that should be whole may be a hair below
-    copies = whole + (u < rate - whole).cast("long")
-    return docs.join(rated, cond).withColumns({"__tokens": tokens(docs), "__copies": copies}).drop(*[f"__{c}" for c in by])
+    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), *[_value(c).alias(f"v_{i}") for i, c in enumerate(by)], tokens(docs).alias("size"))
+    cond = F.lit(True)
+    for i in range(len(by)):
+        cond = cond & (F.col(f"v_{i}") == F.col(f"of_{i}"))
+    u = F.pmod(F.xxhash64(F.col("row.doc_id"), F.col("row.text"), F.lit("copies")), F.lit(1 << 40)) / float(1 << 40)
+    below = F.floor(F.col("rate") + 1e-9)  # a rate that should be whole may be a hair below
+    return whole.join(rated, cond).select("row", "size", "rate", (below + (u < F.col("rate") - below).cast("long")).alias("copies"))
 
 
 def mixed(docs: DataFrame, targets: dict[str, dict[str, float] | float], budget: float | None = None, floor: float | None = None, **options) -> DataFrame:
-    """Each document as many times as its copies, with the columns of docs, as they are."""
+    """Each document as many times as its copies, with the columns of docs, as they are; see rates(), also for nulls, repeated rows and empty tables."""
     rows = _rated(docs, targets, budget, floor, **options)
-    return rows.withColumn("__copy", F.explode(F.array_repeat(F.lit(1), F.col("__copies").cast("int")))).select(*docs.columns)
+    return rows.select("row", F.explode(F.array_repeat(F.lit(1), F.col("copies").cast("int"))).alias("copy")).select(*[F.col(f"row.`{c}`").alias(c) for c in docs.columns])
