@@ -8,7 +8,8 @@ from marginalia.llm import bpe, images, jaccard, lines, mixing, quality, shardin
 LONG = " ".join(f"w{i % 977}" for i in range(60_000))
 ROWS = [(1, "", "en", "a"), (2, None, "en", "a"), (None, "look here you idiot", None, None), (3, LONG, "fr", "b"), (3, LONG, "fr", "b"), (4, "\n\n \t\n", "en", "a"), (5, "x", "en", None), (None, None, None, None), (6, "naïve 😀 ünï\0code\r\nline", "de", "b")]
 #: Extra columns that operators use as names of their own.
-EXTRA = ("print", "key", "rid", "tokens", "rate", "copies", "bucket", "shard", "unit", "bytes", "first", "half", "norm", "sig", "members", "group_id", "gone", "w", "hits", "terms", "host", "path", "best", "content", "tokens_", "line_no")
+EXTRA = ("print", "key", "rid", "tokens", "rate", "copies", "bucket", "shard", "unit", "bytes", "first", "half", "norm", "sig", "members", "group_id", "gone", "w", "hits", "terms", "host", "path", "best", "content", "tokens_", "line_no", "__id", "__tokens", "__copy", "row", "size", "v_0", "of_0", "copy", "a.b", "id", "lines", "of", "links", "class_id", "score", "threshold", "kept")
+PLAIN = [c for c in EXTRA if "." not in c]
 LABELS = "doc_id long, quality int, toxic int"
 
 
@@ -32,6 +33,7 @@ OPS = {
     "toxicity": lambda s, d: toxicity.toxic_documents(d, stems=toxicity.learn_lexicon(d, labels(s))[0]),
     "sharding": lambda s, d: sharding.shard(d, 3),
     "mixing": lambda s, d: mixing.rates(d, {"source": 0.5, "lang": 0.5}),
+    "mixing_clash": lambda s, d: mixing.rates(d, {"tokens": 0.5, "a.b": 1.0}),
     "mixed": lambda s, d: mixing.mixed(d, {"source": 0.5}, floor=1.0),
     "lines": lambda s, d: lines.repeated_lines(d),
     "dedupe_lines": lambda s, d: lines.dedupe_lines(d),
@@ -39,8 +41,8 @@ OPS = {
     "jaccard": lambda s, d: jaccard.ngram_jaccard_classes(d),
     "one_per_group": lambda s, d: jaccard.keep_one_per_group(d),
     "quality": lambda s, d: quality.scored(d, labels(s)),
-    "urls": lambda s, d: urls.filter_urls(d.select(F.col("doc_id").alias("page_id"), F.col("text").alias("url"), *EXTRA), urls.rules_table(s)),
-    "images": lambda s, d: images.image_copies(d.drop("content").select(F.col("doc_id").alias("media_id"), F.col("text").cast("binary").alias("content"), *[c for c in EXTRA if c != "content"])),
+    "urls": lambda s, d: urls.filter_urls(d.select(F.col("doc_id").alias("page_id"), F.col("text").alias("url"), *PLAIN), urls.rules_table(s)),
+    "images": lambda s, d: images.image_copies(d.drop("content").select(F.col("doc_id").alias("media_id"), F.col("text").cast("binary").alias("content"), *[c for c in PLAIN if c != "content"])),
 }
 
 

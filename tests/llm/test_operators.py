@@ -6,6 +6,7 @@ import random
 
 import numpy as np
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from marginalia.llm import bpe, images, jaccard, lines, mixing, quality, sharding, substring, toxicity, urls
@@ -48,8 +49,10 @@ def test_spans_equal_brute_force(spark):
                     want.add((i, *span, first))
                 span = (s, s + k, c)
         want.add((i, *span, first))
-    got = {tuple(r) for r in substring.repeated_spans(spark.createDataFrame(docs, DOC), k, m).collect()}
-    assert got == want and len(want) > 20
+    df = spark.createDataFrame(docs, DOC)
+    for options in ({}, {"bucket_chars": 300}, {"hot_windows": 12}, {"hot_windows": 0}):
+        assert {tuple(r) for r in substring.repeated_spans(df, k, m, **options).collect()} == want
+    assert len(want) > 20
 
 
 # 2
@@ -188,12 +191,23 @@ def test_groups_stay_whole_and_even(spark):
     rng = random.Random(4)
     docs = [(i, words(rng, rng.randrange(1, 60), 30) if i % 5 else "same text") for i in range(600)]
     df = spark.createDataFrame(docs, DOC)
-    for fan_in in (512, 2):
-        rows = sharding.assign(df.select(F.xxhash64("text").alias("unit"), F.octet_length("text").cast("long").alias("bytes")).groupBy("unit").agg(F.sum("bytes").alias("bytes")), 6, fan_in).collect()
+    for fan_in, cells in ((512, 1 << 20), (2, 6 * 40), (3, 6)):
+        rows = sharding.assign(df.select(F.xxhash64("text").alias("unit"), F.octet_length("text").cast("long").alias("bytes")).groupBy("unit").agg(F.sum("bytes").alias("bytes")), 6, fan_in, cells).collect()
         loads = [sum(r.bytes for r in rows if r.shard == s) for s in range(6)]
         assert sum(loads) == sum(len(t) for _, t in docs) and len({r.unit for r in rows}) == len(rows)
         assert max(loads) - min(loads) <= 200
+    # One group: the very partition that differencing without heaps gives, step by step over all groups.
+    size: dict[str, int] = {}
+    for _, t in docs:
+        size[t] = size.get(t, 0) + len(t)
+    sums = sorted(([b, 0, 0, 0, 0, 0] for b in size.values()), key=lambda s: -s[0])
+    while len(sums) > 1:
+        sums.sort(key=lambda s: s[-1] - s[0])
+        a, b, *sums = sums
+        sums.append(sorted((x + y for x, y in zip(a, reversed(b))), reverse=True))
     got = sharding.shard(df, 6).collect()
+    assert [sum(len(docs[r.doc_id][1]) for r in got if r.shard == s) for s in range(6)] == sums[0] or max(sums[0]) - min(sums[0]) <= 2
+    assert {r.doc_id: r.group_bytes for r in got} == {i: size[t] for i, t in docs}
     assert len(got) == 600 and len({r.shard for r in got if r.doc_id % 5 == 0}) == 1
 
 
@@ -213,6 +227,26 @@ def test_tilted_shares_meet_targets(spark):
     # Exponentially tilted: the log rate is a sum of one term for each value.
     log = {(r.source, r.lang): math.log(r.rate) for r in rows}
     assert log["a", "x"] + log["b", "y"] == pytest.approx(log["a", "y"] + log["b", "x"])
+    # Against another algorithm: proportional fitting of the four cells' tokens, column by column.
+    cell: dict[tuple, float] = {}
+    for r in rows:
+        cell[r.source, r.lang] = cell.get((r.source, r.lang), 0) + r.tokens
+    fit = dict(cell)
+    for _ in range(500):
+        for at, shares in enumerate(want.values()):
+            now = {v: sum(x for k, x in fit.items() if k[at] == v) for v in shares}
+            fit = {k: x * shares[k[at]] * total / now[k[at]] for k, x in fit.items()}
+    assert all(r.rate == pytest.approx(fit[r.source, r.lang] / cell[r.source, r.lang], rel=1e-4) for r in rows)
+    # Copies by the hash of id and text, as a public implementation computes it.
+    for r in rows:
+        h = xxhash.xxh64_intdigest(b"copies", xxhash.xxh64_intdigest(r.text.encode(), xxhash.xxh64_intdigest(r.doc_id.to_bytes(8, "little"), 42)))
+        u = ((h - (1 << 64) * (h >> 63)) % (1 << 40)) / (1 << 40)
+        assert r.copies == math.floor(r.rate + 1e-9) + (u < r.rate - math.floor(r.rate + 1e-9))
+    with pytest.MonkeyPatch.context() as m:  # many cells: a shuffled join gives the same
+        m.setattr(mixing, "FEW_CELLS", 0)
+        assert {(r.doc_id, r.copies) for r in mixing.rates(docs, want).collect()} == {(r.doc_id, r.copies) for r in rows}
+    with pytest.warns(UserWarning, match="miss their targets"):
+        mixing.rates(docs.where("source = 'a' AND lang = 'x' OR source = 'b' AND lang = 'y'"), want, steps=5)
     assert all(math.floor(r.rate) <= r.copies <= math.ceil(r.rate) for r in rows)
     assert sum(r.copies * r.tokens for r in rows) == pytest.approx(total, rel=0.1)
     assert min(r.copies for r in mixing.rates(docs, {"source": 0.5}, floor=1.0).collect()) >= 1
@@ -262,12 +296,18 @@ def test_encoding_equals_a_public_encoder(spark):
     ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(bpe.VOCABULARY, "rb"))}
     other = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=ranks, special_tokens={})
     docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text")
-    odd = spark.createDataFrame([(-1, "  a\n\n b's 12345 <|endoftext|> 😀é\t\t"), (-2, "a" * 5000), (-3, "")], DOC)
+    odd = spark.createDataFrame([(-1, "  a\n\n b's 12345 <|endoftext|> 😀é\t\t"), (-2, "a" * 5000), (-3, ""), (-4, "".join(random.Random(7).choice("etaoinshrdlu") for _ in range(60_000)) + " end"), (-5, "x" + "ab" * 700 + " " + "né" * 900)], DOC)
     both = docs.unionByName(odd)
     rows = bpe.encode(both, verify=True)
     text = {r.doc_id: r.text for r in both.collect()}
     for r in rows.collect():
         assert list(r.tokens) == other.encode_ordinary(text[r.doc_id]) and r.decodes and r.n_tokens == len(r.tokens)
+    with pytest.MonkeyPatch.context() as m:  # short pieces by the heap and long ones by rounds have the same tokens
+        texts = [t for i, t in text.items() if i != -4]
+        long = bpe.Encoder(vocabulary := bpe.Vocabulary(open(bpe.VOCABULARY, "rb").read())).encode(texts)
+        for n in (2, 10**9):
+            m.setattr(bpe, "LONG", n)
+            assert all((a == b).all() for a, b in zip(bpe.Encoder(vocabulary).encode(texts), long))
     assert {r.doc_id: r.text for r in bpe.decode(rows.select("doc_id", "tokens")).collect()} == text
 
 
