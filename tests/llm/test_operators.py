@@ -364,15 +364,43 @@ def test_components(spark):
 # 9
 
 
-def test_edited_copies_are_found(spark):
-    vectors = spark.read.parquet(f"{SF.replace('0.001', '0.01')}/embeddings.parquet").where("vec_id < 160")
+@pytest.mark.parametrize("n", [160, 500])
+def test_edited_copies_are_found(spark, n):
+    """Recall and precision against the copies that were drawn, over box scenes and cloudy ones, at two sizes."""
+    vectors = spark.read.parquet(f"{SF.replace('0.001', '0.01')}/embeddings.parquet").where(f"vec_id < {n}")
     got = {(r.media_a, r.media_b): r for r in images.image_copies(images.render(vectors)).collect()}
-    true = {(2 * v, 2 * v + 1) for v in range(0, 160, 8)}
-    assert len(true & set(got)) >= 0.9 * len(true) and len(set(got) - true) <= 2
+    true = {(2 * v, 2 * v + 1) for v in range(0, n, 8)}
+    for boxes in (0, 1):
+        own = {p for p in true if p[0] // 64 % 2 == boxes}
+        assert len(own & set(got)) >= 0.9 * len(own)
+    assert len(set(got) - true) <= 0.02 * len(true)
     turned = [got[p].turn for p in true & set(got) if p[0] // 16 % 4 == 2]
     assert turned and all(abs(abs(t) - 20) < 4 for t in turned)
 
 
+def test_tables_find_what_brute_force_does(spark):
+    """Pairs of images by the tables against all pairs of descriptors, by the plan of few descriptors and that of many."""
+    rng = np.random.default_rng(9)
+    base = rng.integers(0, 2, (400, images.BITS))
+    bits = np.concatenate([base, base ^ (rng.random(base.shape) < 0.1)])
+    raw = np.packbits(bits.astype(np.uint8), axis=1)
+    rows = [(i % 400 * 2 + i // 400, float(i % 90), float(i % 70), 1.0, 0.0, bytearray(b)) for i, b in enumerate(raw)]
+    points = spark.createDataFrame(rows, "media_id long, y float, x float, scale float, angle float, bits binary")
+    near = {(2 * i, 2 * i + 1) for i in range(400) if (bits[i] != bits[i + 400]).sum() <= 48}
+    for n in (800, 140_000_000):  # the latter is what 30 GB of pictures have
+        plan = images._Plan(n)
+        found = points.mapInArrow(images._tables(plan), "bucket long, packed binary").groupBy("bucket").applyInArrow(images._meet(plan, 48), "media_a long, media_b long, place_a long, place_b long").collect()
+        got = [(r.media_a, r.media_b) for r in found]
+        assert len(got) == len(set(got)) and set(got) <= near and len(got) >= 0.9 * len(near)
+
+
+def test_equal_files_are_copies_whatever_they_show(spark):
+    plain, other = images.encode_image(np.zeros((40, 40))), images.encode_image(np.ones((40, 40)))
+    rows = [(5, plain), (3, plain), (3, plain), (9, other), (None, plain), (7, None), (8, plain)]
+    got = images.image_copies(spark.createDataFrame(rows, "media_id long, content binary")).collect()
+    assert {(r.media_a, r.media_b, r.points) for r in got} == {(3, 5, None), (3, 8, None)}
+
+
 def test_image_files():
     img = np.arange(48, dtype=np.uint8).reshape(6, 8)
     assert (images.decode_image(images.encode_image(img)) == img).all()
