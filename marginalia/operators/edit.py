@@ -177,7 +177,7 @@ def new_target(link: dict, to: str) -> str:
 
 
 def rewritten(raw: bytes, changes: list[tuple[dict, str]]) -> bytes:
-    """raw with links replaced, from the last to the first; offsets must be inside and apart."""
+    """raw with links replaced, from the last to the first; offsets must be inside and apart, and the links must be there."""
     order = sorted(changes, key=lambda c: -c[0]["start"])
     for link, _ in order:
         if not 0 <= link["start"] < link["end"] <= len(raw):
@@ -185,17 +185,33 @@ def rewritten(raw: bytes, changes: list[tuple[dict, str]]) -> bytes:
     for (later, _), (earlier, _) in zip(order, order[1:]):
         if earlier["end"] > later["start"]:
             raise NoteError("LINK_OVERLAP", f"{earlier['raw']} and {later['raw']}")
+    for link, _ in order:
+        here = raw[link["start"] : link["end"]].decode("utf-8", "replace")
+        if not here.startswith(("[", "![")) or link["raw"] not in here:  # raw of a Markdown link is its destination
+            raise NoteError("LINK_OFFSET_INVALID", f"{link['raw']} is not at {link['start']}")
     for link, target in order:
         raw = raw[: link["start"]] + link_text(link, target).encode() + raw[link["end"] :]
     return raw
 
 
+def links_to(resolved: DataFrame, old: str) -> DataFrame:
+    """(path, own): the notes that refer to old, and those of their links."""
+    return resolved.where((F.col("resolved") == old) & (F.col("start") >= 0)).groupBy(F.col("from_path").alias("path")).agg(F.collect_list(F.struct("raw", "target", "alias", "anchor", "kind", "start", "end")).alias("own"))
+
+
 def rewrite_links(notes: DataFrame, resolved: DataFrame, old: str, new: str) -> DataFrame:
-    """(path, content, links): the notes that refer to old, with those links made to refer to new; notes are rewritten in parallel."""
-    mine = resolved.where((F.col("resolved") == old) & (F.col("start") >= 0)).groupBy(F.col("from_path").alias("path")).agg(F.collect_list(F.struct("raw", "target", "alias", "anchor", "kind", "start", "end")).alias("own"))
+    """(path, content, links): the notes that refer to old, with those links made to refer to new; notes are rewritten in parallel.
 
-    @F.pandas_udf("string")
+    content is a string or, for notes that may not be valid UTF-8, the file's bytes; these stay as they are but for the links.
+    """
+    kind = notes.schema["content"].dataType.simpleString()
+
+    @F.pandas_udf(kind)
     def rewrite(content: pd.Series, own: pd.Series) -> pd.Series:
-        return pd.Series([rewritten(c.encode(), [(dict(x), new_target(x, new)) for x in links]).decode() for c, links in zip(content, own)])
+        def one(c, links):
+            made = rewritten(c.encode() if isinstance(c, str) else bytes(c), [(dict(x), new_target(x, new)) for x in links])
+            return made.decode() if isinstance(c, str) else made
+
+        return pd.Series([one(c, links) for c, links in zip(content, own)])
 
-    return notes.select("path", "content").join(mine, "path").select("path", rewrite("content", "own").alias("content"), F.size("own").alias("links"))
+    return notes.select("path", "content").join(links_to(resolved, old), "path").select("path", rewrite("content", "own").alias("content"), F.size("own").alias("links"))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import functools
 import json
+import uuid
 import re
 from collections.abc import Iterator
 
@@ -283,14 +284,31 @@ def update_postings(base: DataFrame, changed: DataFrame, gone: DataFrame | None
 
 
 def write_index(notes: DataFrame, folder: str, vault: str = "") -> None:
-    """Postings in term order, so that readers skip by term; document lengths; and, last, a manifest of versions and counts."""
+    """Postings in term order, so that readers skip by term; document lengths; and, last, a manifest of versions and counts.
+
+    Each index has a folder of its own, which the manifest names: one that was broken off is
+    never read, and the one before stays whole until the manifest names the next.
+    """
     spark = notes.sparkSession
-    index = positions(notes)
-    index.repartitionByRange("term").sortWithinPartitions("term", "path").write.mode("overwrite").parquet(f"{folder}/postings")
-    doc_stats(notes).write.mode("overwrite").parquet(f"{folder}/doc_stats")
-    docs = spark.read.parquet(f"{folder}/doc_stats").count()
-    row = FORMAT | {"vault": vault, "docs": docs}
-    spark.createDataFrame([(json.dumps(row),)], "manifest string").coalesce(1).write.mode("overwrite").json(f"{folder}/manifest")
+    own = f"index-{uuid.uuid4().hex}"
+    positions(notes).repartitionByRange("term").sortWithinPartitions("term", "path").write.parquet(f"{folder}/{own}/postings")
+    doc_stats(notes).write.parquet(f"{folder}/{own}/doc_stats")
+    _name_index(spark, folder, own, vault)
+
+
+def _name_index(spark: SparkSession, folder: str, own: str, vault: str) -> None:
+    """Puts a manifest that names an index in the place of the one before by renaming, and removes the other indexes."""
+    docs = spark.read.parquet(f"{folder}/{own}/doc_stats").count()
+    jvm = spark._jvm.org.apache.hadoop.fs
+    at = jvm.Path(folder)
+    files = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    spark.createDataFrame([(json.dumps(FORMAT | {"vault": vault, "docs": docs, "folder": own}),)], "manifest string").coalesce(1).write.json(f"{folder}/{own}/manifest")
+    files.delete(jvm.Path(f"{folder}/manifest"), True)
+    files.rename(jvm.Path(f"{folder}/{own}/manifest"), jvm.Path(f"{folder}/manifest"))
+    for old in files.listStatus(at):
+        name = old.getPath().getName()
+        if name.startswith("index-") and name != own:
+            files.delete(old.getPath(), True)
 
 
 def read_index(spark: SparkSession, folder: str, vault: str = "") -> tuple[DataFrame, DataFrame]:
@@ -301,7 +319,27 @@ def read_index(spark: SparkSession, folder: str, vault: str = "") -> tuple[DataF
         raise NoteError("INDEX_BUILDING", f"no complete index in {folder}") from why
     if {k: manifest.get(k) for k in FORMAT} != FORMAT or manifest.get("vault") != vault:
         raise NoteError("INDEX_BUILDING", "the index is of another version or vault")
-    return spark.read.parquet(f"{folder}/postings"), spark.read.parquet(f"{folder}/doc_stats")
+    stats = spark.read.parquet(f"{folder}/{manifest['folder']}/doc_stats")
+    if stats.count() != manifest["docs"]:
+        raise NoteError("INDEX_BUILDING", "the index lacks documents that its manifest counts")
+    return spark.read.parquet(f"{folder}/{manifest['folder']}/postings"), stats
+
+
+def resume_index(notes: DataFrame, folder: str, vault: str = "") -> tuple[DataFrame, DataFrame]:
+    """read_index() of an index that holds all notes: one that lacks some has these added and is written anew, one that can't be read is built."""
+    spark = notes.sparkSession
+    try:
+        index, stats = read_index(spark, folder, vault)
+    except NoteError:
+        write_index(notes, folder, vault)
+        return read_index(spark, folder, vault)
+    lacking = missing_docs(notes, stats)
+    if not lacking.isEmpty():
+        own = f"index-{uuid.uuid4().hex}"
+        update_postings(index, positions(lacking)).repartitionByRange("term").sortWithinPartitions("term", "path").write.parquet(f"{folder}/{own}/postings")
+        update_postings(stats, doc_stats(lacking)).write.parquet(f"{folder}/{own}/doc_stats")
+        _name_index(spark, folder, own, vault)
+    return read_index(spark, folder, vault)
 
 
 def missing_docs(notes: DataFrame, stats: DataFrame) -> DataFrame:

@@ -152,38 +152,18 @@ def bm25_reduced_forms(spark, d):
     return search.bm25(notes(spark, d), "reres thates").select("path", F.round("score", 6).alias("score"))
 
 
-_ASCII = NOTES.replace("FROM documents)", "FROM documents WHERE strlen(text) = length(text))")
-
-
-def ascii_notes(spark, d):
-    return notes(spark, d).where(F.octet_length("content") == F.char_length("content"))
-
-
-_FIRST = r"""SELECT path, title, round(score, 6) AS score, mtime AS modified, (SELECT count(*) FROM kept) AS total, (SELECT count(*) FROM kept) > 20 AS truncated,
- CASE WHEN a IS NULL THEN 1 ELSE 0 END AS second, content[greatest(0, coalesce(a, b) - 120) + 1 : greatest(0, coalesce(a, b) - 120) + 240] AS snippet FROM
- (SELECT *, CASE WHEN regexp_matches(lower(content), '(^|[^a-z0-9])of([^a-z0-9]|$)') THEN length(regexp_extract(lower(content), '(?s)^(.*?[^a-z0-9]|)of([^a-z0-9].*|$)', 1)) END AS a,
- length(regexp_extract(lower(content), '(?s)^(.*?[^a-z0-9]|)hain([^a-z0-9].*|$)', 1)) AS b FROM kept ORDER BY score DESC, path LIMIT 20)"""
-
-
-@query(_bm25("of hain", base=_ASCII, select=_FIRST).replace("CASE WHEN a IS NULL THEN 1 ELSE 0 END AS second, ", ""))
+@query(_bm25("of hain", select=_PAGE.format(end=20, limit=20, offset=0)))
 def bm25_two_terms(spark, d):
-    rows = search.search(ascii_notes(spark, d), "of hain")
-    return rows.select("path", "title", F.round("score", 6).alias("score"), "modified", "total", "truncated", "snippet")
+    return _page(search.search(notes(spark, d), "of hain", snippets=False))
 
 
 @query()
 def bm25_two_terms_whole(spark, d):
-    """The search over every note, of any letters; bm25_two_terms is its ASCII slice, whose snippets SQL can cut by bytes."""
+    """bm25_two_terms with its snippets, which SQL can't cut by bytes where letters are longer."""
     rows = search.search(notes(spark, d), "of hain")
     return rows.select("path", "title", F.round("score", 6).alias("score"), "modified", "total", "truncated", "snippet")
 
 
-@query(_bm25("of hain", select=_PAGE.format(end=20, limit=20, offset=0)))
-def bm25_two_terms_page(spark, d):
-    """What SQL can say of bm25_two_terms_whole: all but the snippet."""
-    return _page(search.search(notes(spark, d), "of hain", snippets=False))
-
-
 @query(_bm25("of the", keep=r"regexp_matches(lower(strip_accents(content)), '(^|[^\p{L}\p{Nd}])of[\x00-/:-@\[-`{-\x7F](the|thes)([^\p{L}\p{Nd}]|$)')", select=_PAGE.format(end=20, limit=20, offset=0)))
 def phrase_search(spark, d):
     return _page(search.search(notes(spark, d), '"of the"', snippets=False))
@@ -444,15 +424,15 @@ def page_links(spark, d):
     return pages.select("page_id", F.explode(F.regexp_extract_all("html", F.lit('href="/([^"]*)"'), F.lit(1))).alias("target")).groupBy("page_id", "target").agg(F.count("*").alias("n"))
 
 
-# Texts for the parser.
+# Texts for the parser: the documents' whole texts below headings, links and fields, and code that holds none.
 
-_BODY = r"'---\ntitle: \"T' || doc_id || '\"\ntags: [' || source || ', lang/' || lang || ']\naliases: a' || doc_id || ', b\nyear: 2024\n---\n# Head ' || doc_id || '\n\n[[n' || doc_id % 7 || '#Part|see]] #own/x' || doc_id % 3 || ' ^blk' || doc_id || '\n\n## Part\n\n' || (doc_id % 10) || ' words\n\nkey:: v' || doc_id % 5 || '\n\n# Tail\n\n[m](t%20' || doc_id % 4 || '.md) ![[i.png]]\n'"
-_SQL_BODY = "replace(" + _BODY.replace(r"\n", "~").replace(r"\"", '"') + ", '~', chr(10))"
+_BODY = r"'---\ntitle: \"T' || doc_id || '\"\ntags: [' || source || ', lang/' || lang || ']\naliases: a' || doc_id || ', b\nyear: 2024\n---\n# Head ' || doc_id || '\n\n[[n' || doc_id % 7 || '#Part|see]] #own/x' || doc_id % 3 || ' ^blk' || doc_id || '\n\n## Part\n\n' || (doc_id % 10) || ' words\n\nkey:: v' || doc_id % 5 || '\n\n# Tail\n\n[m](t%20' || doc_id % 4 || '.md) ![[i.png]]\n\n```\n# No\n[[no]] #no\nkey:: no\n```\n\n`[[no]]` \\#no #Own/x' || doc_id % 3 || '\n\n### Deep ###\n\nin [mood:: m' || doc_id % 3 || '] here\n\n'"
+_SQL_BODY = "replace(" + _BODY.replace(r"\n", "~").replace(r"\"", '"').replace("\\\\", "\\") + ", '~', chr(10)) || coalesce(text, '') || chr(10)"
 MARKDOWN = f"md AS (SELECT doc_id, source, lang, 'm/' || doc_id || '.md' AS path, {_SQL_BODY} AS content FROM documents)"
 
 
 def raw_markdown(spark: SparkSession, d: str) -> DataFrame:
-    body = "replace(" + _BODY.replace(r"\n", "~").replace(r"\"", '"') + ", '~', '\\n')"
+    body = "replace(" + _BODY.replace(r"\n", "~").replace(r"\"", '"') + ", '~', '\\n') || coalesce(text, '') || '\\n'"
     return _table(spark, d, "documents").select("doc_id", F.expr("'m/' || doc_id || '.md'").alias("path"), F.expr(body).alias("content"), F.lit("2024-01-01").cast("timestamp").alias("mtime"))
 
 
@@ -476,9 +456,9 @@ def parse_aliases(spark, d):
     return markdown(spark, d).select("path", F.explode("aliases").alias("alias"))
 
 
-_HEADS = f"""{MARKDOWN}, o AS (SELECT *, strpos(content, chr(10) || '# Head') AS a, strpos(content, chr(10) || '## Part') AS b, strpos(content, chr(10) || '# Tail') AS c FROM md),
+_HEADS = f"""{MARKDOWN}, o AS (SELECT *, strpos(content, chr(10) || '# Head') AS a, strpos(content, chr(10) || '## Part') AS b, strpos(content, chr(10) || '# Tail') AS c, strpos(content, chr(10) || '### Deep') AS e FROM md),
 h AS (SELECT path, content, 1 AS level, 'Head ' || doc_id AS text, a AS start, c AS "end", a + length('# Head ' || doc_id) + 1 AS body_start FROM o
- UNION ALL SELECT path, content, 2, 'Part', b, c, b + 8 FROM o UNION ALL SELECT path, content, 1, 'Tail', c, length(content), c + 7 FROM o)"""
+ UNION ALL SELECT path, content, 2, 'Part', b, c, b + 8 FROM o UNION ALL SELECT path, content, 1, 'Tail', c, strlen(content), c + 7 FROM o UNION ALL SELECT path, content, 3, 'Deep', e, strlen(content), e + 13 FROM o)"""
 
 
 @query(f'WITH {_HEADS} SELECT path, CAST(level AS INTEGER) AS level, text, lower(text) AS slug, start, "end", body_start FROM h')
@@ -499,7 +479,7 @@ def parse_links(spark, d):
     return links.exploded(markdown(spark, d)).select(F.col("from_path").alias("path"), "ord", "target", "anchor", "alias", "kind", "start")
 
 
-@query(f"WITH {MARKDOWN} SELECT path, 'key' AS key, 'v' || (doc_id % 5) AS value FROM md")
+@query(f"WITH {MARKDOWN} SELECT path, 'key' AS key, 'v' || (doc_id % 5) AS value FROM md UNION ALL SELECT path, 'mood', 'm' || (doc_id % 3) FROM md")
 def inline_fields(spark, d):
     return markdown(spark, d).select("path", F.explode("inline").alias("key", "values")).select("path", "key", F.explode("values").alias("value"))
 
@@ -576,12 +556,24 @@ def event_filter(spark, d):
     return changes.drop_counts(events(spark, d))
 
 
+@query(f"WITH {EVENTS} SELECT time_bucket(INTERVAL '6 hours', ts, TIMESTAMP '2024-01-01') AS window_start, count(*) AS overflows, CAST(1 AS BIGINT) AS reconciles FROM ev WHERE op = 'touch' GROUP BY 1")
+def overflow_windows(spark, d):
+    lost = events(spark, d).withColumn("op", F.when(F.col("op") == "touch", changes.OVERFLOW).otherwise(F.col("op")))
+    return changes.overflows(lost, "6 hours")
+
+
+@query(f"WITH {NOTES} SELECT path, 'create' AS op FROM notes WHERE string_split(path, '/')[1] IN (SELECT 'src' || (user_id % 9) FROM events WHERE event_type = 'signup')")
+def new_folder_scan(spark, d):
+    folders = _table(spark, d, "events").select(F.expr("'src' || (user_id % 9)").alias("path"), F.expr(_OP).alias("op"))
+    return changes.scanned(folders, notes(spark, d))
+
+
 @query(f"WITH {EVENTS} SELECT time_bucket(INTERVAL '6 hours', ts, TIMESTAMP '2024-01-01') AS window_start, path, count(*) AS events, count(*) - 1 AS coalesced FROM judged WHERE dropped IS NULL GROUP BY 1, 2")
 def debounce_tumbling(spark, d):
     return changes.debounced(events(spark, d), "6 hours")
 
 
-@query(f"WITH {EVENTS} SELECT path, arg_max(CASE WHEN op = 'remove|write' THEN 'remove|write' ELSE op END, event_id) AS op, max(ts) AS ts FROM ev GROUP BY path")
+@query(f"WITH {EVENTS} SELECT path, arg_max(op, {{'ts': ts, 'event_id': event_id}}) AS op, max(ts) AS ts FROM ev GROUP BY path")
 def last_state(spark, d):
     return changes.last_state(events(spark, d))
 

@@ -92,7 +92,7 @@ class Vault:
     def note_read(self, path: str, heading: str = "", heading_level: int = 0, block_id: str = "", include_frontmatter: bool = True, max_bytes: int = edit.MOST_BYTES) -> dict:
         """content, hash, section and truncated of one note, or of a section or block of it."""
         row = self._note(path)
-        raw = row["content"].encode()
+        raw = self._bytes(row["path"]) if self.root else row["content"].encode()
         start, end, section = 0, len(raw), ""
         if heading:
             h = edit.find_heading([x.asDict() for x in row["headings"]], heading, heading_level)
@@ -163,22 +163,23 @@ class Vault:
         broken = mine.where(F.col("state") == links.ANCHOR_MISSING).select("from_path", "anchor").collect()
         done, diffs, n, own = [], {}, 0, None
         if update_links:
-            changed = edit.rewrite_links(self.notes, self.links, origin, to).orderBy("path").toLocalIterator()
-            for row in changed:
+            # Offsets are of the files' bytes, and bytes are what is written: no text passes through an encoding.
+            for row in edit.links_to(self.links, origin).orderBy("path").toLocalIterator():
                 before = self._bytes(row["path"])
-                diffs[row["path"]] = unified(f"a/{row['path']}", f"b/{row['path']}", before.decode("utf-8", "replace"), row["content"])
-                n += row["links"]
+                after = edit.rewritten(before, [(x.asDict(), edit.new_target(x.asDict(), to)) for x in row["own"]])
+                diffs[row["path"]] = unified(f"a/{row['path']}", f"b/{row['path']}", before.decode("utf-8", "replace"), after.decode("utf-8", "replace"))
+                n += len(row["own"])
                 if row["path"] == origin:
-                    own = row["content"].encode()
+                    own = after
                 elif not dry_run:
                     try:
-                        source.write_note(self.root, row["path"], row["content"].encode())
+                        source.write_note(self.root, row["path"], after)
                     except OSError as why:
                         raise NoteError("PARTIAL_MOVE", f"{row['path']}: {why}", done) from why
                 done.append(row["path"])
         if not dry_run:
             os.makedirs(folder, exist_ok=True)
-            source.write_note(self.root, to, own or self._bytes(origin))
+            source.write_note(self.root, to, self._bytes(origin) if own is None else own)
             os.unlink(os.path.join(self.root, origin))
         return {"from": origin, "to": to, "rewritten": done, "links_updated": n, "broken_anchors": [tuple(b) for b in broken], "diffs": diffs}
 

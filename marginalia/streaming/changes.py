@@ -86,20 +86,60 @@ def changed_paths(stream: DataFrame, window: str = WINDOW, late: str = WINDOW) -
     return debounced(stream.withWatermark("ts", late), window)
 
 
+OVERFLOW = "overflow"
+
+
+def overflows(events: DataFrame, window: str = WINDOW) -> DataFrame:
+    """(window_start, overflows, reconciles): however many events say that others were lost, a window has one reconciliation."""
+    return events.where(F.lower("op") == OVERFLOW).groupBy(F.window("ts", window).alias("w")).agg(F.count("*").alias("overflows")).select(F.col("w.start").alias("window_start"), "overflows", F.lit(1).cast("long").alias("reconciles"))
+
+
+def scanned(events: DataFrame, disk: DataFrame) -> DataFrame:
+    """(path, op): 'create' for each file that lies, at any depth, in a folder that an event says was created.
+
+    Such files may have come before the folder was watched. disk: the path of every file.
+    """
+    created = judged(events).where("dropped IS NULL AND op = 'create'").select("path").distinct()
+    names = F.split("path", "/")
+    above = F.when(F.size(names) > 1, F.transform(F.sequence(F.lit(1), F.greatest(F.size(names) - 1, F.lit(1))), lambda n: F.array_join(F.slice(names, 1, n), "/"))).otherwise(F.array().cast("array<string>"))
+    inside = disk.where(~pruned(F.col("path")) & ~is_noise(F.col("path"))).select("path", F.explode(above).alias("folder")).join(created.select(F.col("path").alias("folder")), "folder", "left_semi")
+    return inside.select("path", F.lit("create").alias("op")).distinct()
+
+
+def actions(events: DataFrame, index: DataFrame, disk: DataFrame) -> DataFrame:
+    """(path, action, to) for the events of one batch: applied() to the changed paths and those in new folders; where events were lost, reconcile() over everything, once."""
+    if not events.where(F.lower("op") == OVERFLOW).isEmpty():
+        return reconcile(index, disk).select("path", "action", F.lit(None).cast("string").alias("to"))
+    touched = judged(events).where("dropped IS NULL").select("path").unionByName(scanned(events, disk).select("path"))
+    return applied(index, touched, disk)
+
+
 def watch(stream: DataFrame, disk: Callable[[], DataFrame], index: Callable[[], DataFrame], apply: Callable[[DataFrame, int], None], checkpoint: str, window: str = WINDOW) -> StreamingQuery:
-    """Starts a query that gives each batch of changed paths, as applied() judges it, to apply(actions, batch_id).
+    """Starts a query that gives what to do about each window's changes, as actions() judges them, to apply(actions, batch_id).
 
-    disk, index: called for each batch. apply must be idempotent for a batch_id, since a
+    A window is what arrived since the last tick, each path once, so none waits for later events; close()
+    gives the last one. disk, index: called for each batch. apply must be idempotent for a batch_id, since a
     batch is repeated after a failure.
     """
 
     def batch(rows: DataFrame, batch_id: int) -> None:
-        apply(applied(index(), rows, disk()), batch_id)
+        rows = rows.persist()
+        try:
+            apply(actions(rows, index(), disk()), batch_id)
+        finally:
+            rows.unpersist()
+
+    return stream.writeStream.outputMode("append").option("checkpointLocation", checkpoint).trigger(processingTime=window).foreachBatch(batch).start()
+
 
-    return changed_paths(stream, window).writeStream.outputMode("append").option("checkpointLocation", checkpoint).foreachBatch(batch).start()
+def close(query: StreamingQuery) -> None:
+    """Ends a query of watch() after all that has arrived was given to apply."""
+    query.processAllAvailable()
+    query.stop()
 
 
 def last_state(events: DataFrame) -> DataFrame:
-    """(path, op, ts): the latest event of each path."""
-    by = Window.partitionBy("path").orderBy(F.desc("ts"))
+    """(path, op, ts): the latest event of each path; of several at one time that of the largest event_id, where there is one, then of the last op in order."""
+    ties = [F.desc("event_id")] if "event_id" in events.columns else []
+    by = Window.partitionBy("path").orderBy(F.desc("ts"), *ties, F.desc("op"))
     return events.withColumn("rank", F.row_number().over(by)).where("rank = 1").select("path", "op", "ts")

@@ -111,6 +111,15 @@ def test_index_on_disk(spark, tmp_path):
     assert [r.path for r in search.lookup(index, "dois").collect()] == ["a", "b"]
     more = make(spark, {"a": "um", "b": "dois", "c": "tres"})
     assert [r.path for r in search.missing_docs(more, stats).collect()] == ["c"]
+    grown, lengths = search.resume_index(more, str(tmp_path), "v")
+    assert [r.path for r in search.lookup(grown, "tres").collect()] == ["c"] and lengths.count() == 3
+    assert [r.path for r in search.lookup(grown, "dois").collect()] == ["a", "b"]  # "a" was indexed; what changed goes by update_postings()
+    # A build that breaks off leaves the finished index as it is.
+    with pytest.MonkeyPatch.context() as m:
+        m.setattr(search, "doc_stats", lambda _: 1 / 0)
+        with pytest.raises(ZeroDivisionError):
+            search.write_index(df, str(tmp_path), "v")
+    assert search.read_index(spark, str(tmp_path), "v")[1].count() == 3
     with pytest.raises(NoteError):
         search.read_index(spark, str(tmp_path), "other")
     with pytest.raises(NoteError):

@@ -60,3 +60,23 @@ def test_moved_links(spark):
     pairs = spark.createDataFrame([("a", "z")], "`from` string, to string")
     assert {r.from_path for r in changes.moved_links(links, pairs).collect()} == {"z", "b"}
     assert changes.last_state(spark.createDataFrame([(T0, "a", "write"), (T0 + dt.timedelta(1), "a", "remove")], "ts timestamp, path string, op string")).select(F.col("op")).first()[0] == "remove"
+
+
+def test_lost_events_bring_one_reconciliation(spark, tmp_path):
+    index = spark.createDataFrame([("same.md", 1, T0, "h"), ("gone.md", 1, T0, "g")], FILES)
+    disk = spark.createDataFrame([("same.md", 1, T0, "h"), ("new.md", 1, T0, "n")], FILES)
+    ev = spark.createDataFrame([(T0, "", "overflow")] * 3 + [(T0, "same.md", "write")], "ts timestamp, path string, op string")
+    assert {tuple(r) for r in changes.actions(ev, index, disk).collect()} == {("gone.md", "delete", None), ("new.md", "upsert", None)}
+    assert [(r.overflows, r.reconciles) for r in changes.overflows(ev).collect()] == [(3, 1)]
+    # A stream that ends: what came last is not left behind a watermark.
+    ev.where("op = 'write'").unionByName(spark.createDataFrame([(T0, "new.md", "create")], ev.schema)).coalesce(1).write.parquet(str(tmp_path / "in"))
+    seen = []
+    q = changes.watch(spark.readStream.schema(ev.schema).parquet(str(tmp_path / "in")), lambda: disk, lambda: index, lambda df, _: seen.extend(map(tuple, df.collect())), str(tmp_path / "cp"))
+    changes.close(q)
+    assert set(seen) == {("same.md", "skip", None), ("new.md", "replace", None)} and not q.isActive
+
+
+def test_files_of_new_folders(spark):
+    ev = spark.createDataFrame([(T0, "a/b", "create"), (T0, "c", "write"), (T0, ".git", "create")], "ts timestamp, path string, op string")
+    disk = spark.createDataFrame([(p,) for p in ("a/b/x.md", "a/b/d/y.md", "a/z.md", "c/w.md", "a/bc/v.md", "top.md", ".git/q.md")], "path string")
+    assert {tuple(r) for r in changes.scanned(ev, disk).collect()} == {("a/b/x.md", "create"), ("a/b/d/y.md", "create")}

@@ -94,3 +94,26 @@ def test_interrupted_writes_leave_whole_notes(folder, monkeypatch):
     assert open(os.path.join(folder, "a.md")).read().startswith("# A")
     open(os.path.join(folder, "sub", source.TEMPORARY + "1"), "w").close()
     assert source.sweep(folder) == 1
+
+
+def test_move_leaves_other_bytes_alone(spark, tmp_path):
+    kept = {"bad.md": b"caf\xe9 \xff [[x]] end", "bom.md": b"\xef\xbb\xbf[[x#A|b]]\r\nline\r\n", "utf.md": "na\u00efve \U0001f600 [[x]] [[x]]".encode()}
+    for name, raw in (kept | {"x.md": b"# A\n"}).items():
+        (tmp_path / name).write_bytes(raw)
+    v = Vault.open(spark, str(tmp_path))
+    got = v.note_move("x.md", "sub/z.md")
+    assert got["links_updated"] == 4 and got["rewritten"] == sorted(kept)
+    for name, raw in kept.items():
+        assert (tmp_path / name).read_bytes() == raw.replace(b"[[x", b"[[z")
+    assert (tmp_path / "sub/z.md").read_bytes() == b"# A\n" and not (tmp_path / "x.md").exists()
+
+
+def test_links_are_rewritten_in_bytes(spark):
+    from marginalia.operators import edit
+
+    raw = b"caf\xe9 \xff [[x]] end"
+    notes = spark.createDataFrame([("a.md", bytearray(raw))], "path string, content binary")
+    links = spark.createDataFrame([("a.md", "x.md", "[[x]]", "x", "", "", "wikilink", 7, 12)], "from_path string, resolved string, raw string, target string, alias string, anchor string, kind string, start long, `end` long")
+    assert bytes(edit.rewrite_links(notes, links, "x.md", "z.md").first()["content"]) == raw.replace(b"x", b"z")
+    with pytest.raises(Exception, match="LINK_OFFSET_INVALID|is not at"):
+        edit.rewrite_links(notes, links.withColumn("start", links["start"] + 1), "x.md", "z.md").collect()

@@ -27,5 +27,5 @@ def test_search_reads_every_note(spark):
         at = next(m.start() for m in regex.finditer(TOKEN, texts[r.path]) if term in (plain(m[0]), reduce_word(plain(m[0]))))
         start = max(0, len(texts[r.path][:at].encode()) - 120)
         assert r.snippet == texts[r.path].encode()[start : start + 240].decode("utf-8", "ignore")
-    ranked = catalog.queries()["bm25_two_terms_page"](spark, SF).collect()  # held to SQL by test_catalog
+    ranked = catalog.queries()["bm25_two_terms"](spark, SF).collect()  # held to SQL by test_catalog
     assert [r[:6] for r in rows] == [tuple(r) for r in ranked]
