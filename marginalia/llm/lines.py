@@ -136,13 +136,18 @@ def _lines(docs: DataFrame) -> DataFrame:
     return rows.select("doc_id", "print", "line_no", _normal(F.col("line")).alias("norm")).where("norm <> ''")
 
 
-def _halves(norm: str, min_words: int) -> Column:
-    """Keys of the bucket pairs that a line takes part in.
+def _word_count(norm: str) -> Column:
+    return F.octet_length(norm) - F.octet_length(F.replace(norm, F.lit(" "))) + 1
+
+
+def _halves(norm: str, words: str, min_words: int) -> Column:
+    """Keys of the bucket pairs that a line takes part in; words is its column of _word_count().
 
     Lines of v and w words, v <= w <= v + 1, that one word parts agree on their first or on
     their last (w - 1) div 2 words. A line offers both for its own number of words, and for one more.
+    The number is read from a column because, as an expression, it would be counted anew at each use.
     """
-    w = F.length(norm) - F.length(F.replace(norm, F.lit(" "))) + 1
+    w = F.col(words)
 
     def key(width: Column, own: bool, side: int) -> Column:
         return F.struct(F.xxhash64(width, F.lit(side), F.call_function("substring_index", F.col(norm), F.lit(" "), (F.lit(side) * F.floor((width - 1) / 2)).cast("int"))).alias("half"), F.lit(own).alias("own"))
@@ -209,7 +214,8 @@ def repeated_lines(docs: DataFrame, min_words: int = 8, task_lines: int = 200_00
     spark = docs.sparkSession
     lines = _lines(docs).withColumn("key", F.unhex(F.md5(F.col("norm").cast("binary"))))
     at = F.struct("doc_id", "line_no")
-    distinct = written(lines.select("key", F.struct("doc_id", "line_no", "print").alias("first"), _halves("norm", min_words).alias("halves")).groupBy("key").agg(F.min("first").alias("first"), F.first("halves").alias("halves")), "lines")
+    counted = lines.withColumn("words", _word_count("norm"))
+    distinct = written(counted.select("key", F.struct("doc_id", "line_no", "print").alias("first"), _halves("norm", "words", min_words).alias("halves")).groupBy("key").agg(F.min("first").alias("first"), F.first("halves").alias("halves")), "lines")
     half = distinct.select("first", F.inline("halves"))
     met = half.groupBy("half").agg(F.min("first").alias("lo"), F.max("first").alias("hi"), F.max("own").alias("any"), F.count("*").alias("n")).where("lo <> hi AND any").select("half", (F.col("n") > task_lines).alias("hot"))
     wanted = half.join(met, "half").select(F.col("first.doc_id").alias("of"), F.col("first.print").alias("of_print"), F.col("first.line_no").alias("line_no"), "half", "own", "hot")

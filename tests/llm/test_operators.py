@@ -3,6 +3,7 @@
 import base64
 import math
 import random
+import re
 
 import numpy as np
 import pytest
@@ -286,6 +287,22 @@ def test_lines_equal_brute_force(spark):
         assert left.get(i, "") == ("\n".join(kept) if any(x.strip() for x in kept) else "")
 
 
+def test_words_of_a_line_are_counted_once(spark):
+    plans, keep = {}, lines.written
+
+    def written(df, what):
+        plans[what] = df._jdf.queryExecution().optimizedPlan().toString()
+        return keep(df, what)
+
+    long = "é 😀 ünï a b c d e"
+    docs = [(1, long), (2, f"{long} ñ"), (3, f"ü {long} ñ"), (4, long.replace("c", "ç")), (5, "é 😀 ünï a b c d")]
+    with pytest.MonkeyPatch.context() as m:
+        m.setattr(lines, "written", written)
+        rows = lines.repeated_lines(spark.createDataFrame(docs, DOC)).collect()
+    assert {(r.doc_id, r.kept_doc_id) for r in rows} == {(2, 1), (3, 2), (4, 1)}  # the last has 7 words
+    assert len(re.findall(r"\breplace\(", plans["lines"])) == 1
+
+
 # 7
 
 
