@@ -16,7 +16,9 @@ from marginalia.llm.common import ALNUM, U64, byte_range_hashes, chunks, drop_wr
 T = 64
 #: Standard deviations below what is expected at the threshold, under which a candidate's signatures may not agree: one pair in over a million.
 SURE = 5.0
-_PATH = "path long, rid long, sig binary"
+#: Pairs that a task holds at once, and that one task verifies; sets that it holds for that.
+HELD, VERIFIED, SETS = 500_000, 1_000_000, 10_000
+_PATH = "path long, rid long, kin long, sig binary"
 _CAND = "home long, a long, b long"
 _SETS = "rid long, doc_id long, sig binary, members binary"
 
@@ -117,7 +119,7 @@ def _roots(runs: list[int], threshold: float):
                 for j in _choices(r, threshold):
                     node = mix(sig[:, j].astype(np.uint64) + U64((r * T + j) << 33))
                     path = (node >> U64(10)) | U64(r << 54)
-                    yield pa.RecordBatch.from_arrays([pa.array(path.view(np.int64)), batch.column("rid"), low], ["path", "rid", "sig"])
+                    yield pa.RecordBatch.from_arrays([pa.array(path.view(np.int64)), batch.column("rid"), batch.column("kin"), low], ["path", "rid", "kin", "sig"])
 
     return run
 
@@ -127,30 +129,48 @@ def _deeper(threshold: float):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            path, rid, sig = (batch.column(c).to_pylist() for c in ("path", "rid", "sig"))
+            path, rid, kin, sig = (batch.column(c).to_pylist() for c in ("path", "rid", "kin", "sig"))
             choose = functools.cache(lambda p: _choices(p, threshold))
-            rows = [(p, j, r, s) for p, r, s in zip(path, rid, sig) for j in choose(p)]
+            rows = [(p, j, r, s, k) for p, r, s, k in zip(path, rid, sig, kin) for j in choose(p)]
             if rows:
                 old = np.array([x[0] for x in rows], np.int64).view(np.uint64)
                 step = np.array([x[1] * 256 + x[3][x[1]] for x in rows], np.uint64)
                 new = (mix(mix(old) + step) >> U64(10)) | (old >> U64(54) << U64(54))
-                yield pa.RecordBatch.from_arrays([pa.array(new.view(np.int64)), pa.array([x[2] for x in rows], pa.int64()), pa.array([x[3] for x in rows], pa.binary())], ["path", "rid", "sig"])
+                yield pa.RecordBatch.from_arrays([pa.array(new.view(np.int64)), pa.array([x[2] for x in rows], pa.int64()), pa.array([x[4] for x in rows], pa.int64()), pa.array([x[3] for x in rows], pa.binary())], ["path", "rid", "kin", "sig"])
 
     return run
 
 
-def _pairs_within(sig: np.ndarray, need: int) -> tuple[np.ndarray, np.ndarray]:
-    """Brute force over one bucket: the pairs with so many equal coordinates."""
-    left, right = [], []
+def _pairs_within(sig: np.ndarray, kin: np.ndarray, need: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Brute force over one bucket: the pairs of different kin with so many equal coordinates, HELD or few more at once."""
+    if (kin == kin[0]).all():
+        return
+    left, right, n = [], [], 0
     for i in range(len(sig) - 1):
-        hit = np.flatnonzero(np.count_nonzero(sig[i + 1 :] == sig[i], axis=1) >= need)
+        other = i + 1 + np.flatnonzero(kin[i + 1 :] != kin[i])
+        hit = other[np.count_nonzero(sig[other] == sig[i], axis=1) >= need]
         left.append(np.full(len(hit), i))
-        right.append(hit + i + 1)
-    return np.concatenate(left), np.concatenate(right)
-
-
-def _split(sig: np.ndarray, rows: np.ndarray, path: int, depth: int, threshold: float, need: int, small: int, most: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """A bucket's pairs: brute force where it is small, deep, or alike throughout; else by further coordinates."""
+        right.append(hit)
+        n += len(hit)
+        if n >= HELD:
+            yield np.concatenate(left), np.concatenate(right)
+            left, right, n = [], [], 0
+    if n:
+        yield np.concatenate(left), np.concatenate(right)
+
+
+def _stars(sig: np.ndarray, need: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs that tie a bucket's records together, fewer than there are records: the first one left with all that agree with it."""
+    rest = np.arange(len(sig))
+    while len(rest) > 1:
+        hit = np.count_nonzero(sig[rest[1:]] == sig[rest[0]], axis=1) >= need
+        if hit.any():
+            yield np.full(int(hit.sum()), rest[0]), rest[1:][hit]
+        rest = rest[1:][~hit]
+
+
+def _split(sig: np.ndarray, rows: np.ndarray, path: int, depth: int, threshold: float, small: int, most: int) -> Iterator[np.ndarray]:
+    """The parts of a bucket to be compared by brute force: small, deep, or alike throughout; others are split by further coordinates."""
     own = sig[rows]
     if len(rows) > small and depth < most:
         probe = own[:: max(1, len(own) // 64)]
@@ -162,65 +182,77 @@ def _split(sig: np.ndarray, rows: np.ndarray, path: int, depth: int, threshold:
                 cut = np.flatnonzero(np.append(True, value[1:] != value[:-1]))
                 for a, b in zip(cut, np.append(cut[1:], len(order))):
                     if b - a > 1:
-                        yield from _split(sig, rows[order[a:b]], hash((path, j, int(value[a]))), depth + 1, threshold, need, small, most)
+                        yield from _split(sig, rows[order[a:b]], hash((path, j, int(value[a]))), depth + 1, threshold, small, most)
             return
-    a, b = _pairs_within(own, need)
-    yield rows[a], rows[b]
+    yield rows
 
 
-def _buckets(threshold: float, need: int, small: int, most: int):
-    """Candidate pairs of each path's bucket, from rows sorted by path."""
+def _buckets(threshold: float, need: int, small: int, most: int, stars: bool = False):
+    """Candidate pairs of each path's bucket, from rows sorted by path; with stars, only what ties large buckets together."""
+    sure = max(need, int(T * (threshold + (1 - threshold) / 256)))
 
-    def found(path: np.ndarray, rid: np.ndarray, sig: np.ndarray) -> Iterator[pa.RecordBatch]:
+    def pairs(path: np.ndarray, kin: np.ndarray, sig: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         cut = np.flatnonzero(np.append(True, path[1:] != path[:-1]))
         size = np.diff(np.append(cut, len(path)))
-        reach = np.repeat(np.where(size <= small, size, 0), size)  # larger buckets are split one by one
-        at = np.arange(len(path)) - np.repeat(cut, size)
-        left, right = [], []
-        for d in range(1, int(reach.max(initial=1))):
-            i = np.flatnonzero(at + d < reach)
-            i = i[np.count_nonzero(sig[i] == sig[i + d], axis=1) >= need]
-            left.append(i)
-            right.append(i + d)
+        if not stars:
+            reach = np.repeat(np.where(size <= small, size, 0), size)  # larger buckets are split one by one
+            at = np.arange(len(path)) - np.repeat(cut, size)
+            for d in range(1, int(reach.max(initial=1))):
+                i = np.flatnonzero(at + d < reach)
+                i = i[np.count_nonzero(sig[i] == sig[i + d], axis=1) >= need]
+                yield i, i + d
         for k in np.flatnonzero(size > small):
-            for a, b in _split(sig, np.arange(cut[k], cut[k] + size[k]), int(path[cut[k]]), 1, threshold, need, small, most):
-                left.append(a)
-                right.append(b)
-        if not left:
-            return
-        a, b = np.concatenate(left), np.concatenate(right)
-        home, x, y = path[a], rid[a], rid[b]
-        keep = x != y
-        lo, hi = np.minimum(x, y)[keep], np.maximum(x, y)[keep]
-        if len(lo):
-            yield pa.RecordBatch.from_arrays([pa.array(home[keep]), pa.array(lo), pa.array(hi)], ["home", "a", "b"])
+            for rows in _split(sig, np.arange(cut[k], cut[k] + size[k]), int(path[cut[k]]), 1, threshold, small, most):
+                if not stars or len(rows) > small:
+                    for a, b in _stars(sig[rows], sure) if stars else _pairs_within(sig[rows], kin[rows], need):
+                        yield rows[a], rows[b]
+
+    def found(path: np.ndarray, rid: np.ndarray, kin: np.ndarray, sig: np.ndarray) -> Iterator[pa.RecordBatch]:
+        def batch() -> Iterator[pa.RecordBatch]:
+            a, b = np.concatenate(left), np.concatenate(right)
+            keep = kin[a] != kin[b]
+            home, x, y = path[a[keep]], rid[a[keep]], rid[b[keep]]
+            if len(home):
+                yield pa.RecordBatch.from_arrays([pa.array(home), pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], ["home", "a", "b"])
+
+        left, right, n = [], [], 0
+        for a, b in pairs(path, kin, sig):
+            left.append(a)
+            right.append(b)
+            n += len(a)
+            if n >= HELD:
+                yield from batch()
+                left, right, n = [], [], 0
+        if left:
+            yield from batch()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        path, rid, sig = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros((0, T), np.uint8)
+        path, rid, kin, sig = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros((0, T), np.uint8)
         for batch in batches:
             if not batch.num_rows:
                 continue
             path = np.append(path, batch.column("path").to_numpy())
             rid = np.append(rid, batch.column("rid").to_numpy())
+            kin = np.append(kin, batch.column("kin").to_numpy())
             sig = np.concatenate([sig, np.frombuffer(b"".join(batch.column("sig").to_pylist()), np.uint8).reshape(-1, T)])
             whole = int(np.searchsorted(path, path[-1]))  # the last bucket may go on
             if whole:
-                yield from found(path[:whole], rid[:whole], sig[:whole])
-                path, rid, sig = path[whole:], rid[whole:], sig[whole:]
+                yield from found(path[:whole], rid[:whole], kin[:whole], sig[:whole])
+                path, rid, kin, sig = path[whole:], rid[whole:], kin[whole:], sig[whole:]
         if len(path):
-            yield from found(path, rid, sig)
+            yield from found(path, rid, kin, sig)
 
     return run
 
 
 def _verify(threshold: float):
-    """Exact Jaccard of the candidate pairs of each home, whose sets come first."""
+    """Exact Jaccard of the candidate pairs of each part of a home, whose sets come first."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         home, sets = None, {}
         for batch in batches:
             out = []
-            for at, kind, a, b, found, members in zip(*(batch.column(c).to_pylist() for c in ("home", "kind", "a", "b", "found", "members"))):
+            for *at, kind, a, b, found, members in zip(*(batch.column(c).to_pylist() for c in ("home", "part", "kind", "a", "b", "found", "members"))):
                 if at != home:
                     home, sets = at, {}
                 if kind == 0:
@@ -241,11 +273,11 @@ def _verify(threshold: float):
     return run
 
 
-def _round(reps: DataFrame, runs: list[int], threshold: float, small: int, most: int, task_rows: int) -> DataFrame:
-    """(home, a, b) for each run that brings a pair of records into one bucket."""
+def _round(records: DataFrame, runs: list[int], threshold: float, small: int, most: int, task_rows: int, stars: bool = False) -> DataFrame:
+    """(home, a, b) for each run that brings a pair of records (rid, kin, sig) of different kin into one bucket."""
     sigma = (threshold * (1 - threshold) / T) ** 0.5
     need = max(1, int(T * (threshold + (1 - threshold) / 256 - SURE * sigma)))
-    rows = reps.select("rid", "sig").mapInArrow(_roots(runs, threshold), _PATH)
+    rows = records.select("rid", "kin", "sig").mapInArrow(_roots(runs, threshold), _PATH)
     done = None
     for _ in range(most):
         large = written(rows.groupBy("path").count().where(F.col("count") > task_rows).select("path"), "paths")
@@ -256,42 +288,68 @@ def _round(reps: DataFrame, runs: list[int], threshold: float, small: int, most:
         done = ready if done is None else done.unionByName(ready)
         rows = rows.join(large, "path", "left_semi").mapInArrow(_deeper(threshold), _PATH)
     rows = rows if done is None else done.unionByName(rows)
-    return rows.repartition(2 * partitions(rows.sparkSession), "path").sortWithinPartitions("path").mapInArrow(_buckets(threshold, need, small, most), _CAND)
+    return rows.repartition(2 * partitions(rows.sparkSession), "path").sortWithinPartitions("path").mapInArrow(_buckets(threshold, need, small, most, stars), _CAND)
 
 
 def _verified(cand: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
     spark = cand.sparkSession
     # A pair's home is its bucket of the earliest run, so that a group's pairs mostly meet in one.
     pairs = written(cand.groupBy("a", "b").agg(F.min("home").alias("home"), F.countDistinct(F.shiftright("home", 54)).alias("found")), "candidates")
+    # A home that is too large for one task is a square of parts, by either side's hash; few homes are.
     needed = pairs.select("home", F.explode(F.array("a", "b")).alias("rid")).distinct()
-    members = needed.join(sets.select("rid", "members"), "rid").select("home", F.lit(0).alias("kind"), F.col("rid").alias("a"), F.lit(None).cast("long").alias("b"), F.lit(None).cast("long").alias("found"), "members")
-    both = members.unionByName(pairs.select("home", F.lit(1).alias("kind"), "a", "b", "found", F.lit(None).cast("binary").alias("members")))
-    near = written(both.repartition(2 * partitions(spark), "home").sortWithinPartitions("home", "kind").mapInArrow(_verify(threshold), "a long, b long, found long, jaccard double"), "near")
-    drop_written(pairs)
+    size = pairs.groupBy("home").count().where(F.col("count") > SETS).join(needed.groupBy("home").agg(F.count("*").alias("sets")), "home")
+    side = F.ceil(F.greatest(F.sqrt(F.col("count") / VERIFIED), F.col("sets") / SETS)).cast("int")
+    large = written(size.select("home", side.alias("side")).where("side > 1"), "homes")
+    part = lambda rid: F.pmod(F.xxhash64(rid), F.col("side"))
+    parted = pairs.join(large, "home", "left").withColumn("part", F.coalesce(part("a") * F.col("side") + part("b"), F.lit(0)))
+    needed = parted.select("home", "part", F.explode(F.array("a", "b")).alias("rid")).distinct()
+    members = needed.join(sets.select("rid", "members"), "rid").select("home", "part", F.lit(0).alias("kind"), F.col("rid").alias("a"), F.lit(None).cast("long").alias("b"), F.lit(None).cast("long").alias("found"), "members")
+    both = members.unionByName(parted.select("home", "part", F.lit(1).alias("kind"), "a", "b", "found", F.lit(None).cast("binary").alias("members")))
+    near = written(both.repartition(2 * partitions(spark), "home", "part").sortWithinPartitions("home", "part", "kind").mapInArrow(_verify(threshold), "a long, b long, found long, jaccard double"), "near")
+    drop_written(pairs, large)
     return near
 
 
-def near_sets(docs: DataFrame, n: int = 3, threshold: float = 0.6, recall: float = 0.95, runs: int = 6, small: int = 48, most: int = 8, task_rows: int = 200_000) -> tuple[DataFrame, DataFrame]:
-    """(rid, doc_id) of every document, and (a, b, jaccard) of the near pairs of different sets; see ngram_jaccard_classes()."""
+def near_sets(docs: DataFrame, n: int = 3, threshold: float = 0.6, recall: float = 0.95, runs: int = 6, small: int = 48, most: int = 8, task_rows: int = 200_000, connected: bool = False) -> tuple[DataFrame, DataFrame]:
+    """(rid, doc_id) of every document, and (a, b, jaccard) of the near pairs of different sets; see ngram_jaccard_classes().
+
+    connected: of sets that are all alike only near pairs that connect them, and then those between sets
+    that are not connected yet, so that a group's pairs are no more than in proportion to its sets.
+    """
     sets = written(shingle_sets(docs, n), "sets")
     # Records of one set are the same to the last byte: any may stand for all.
     one = sets.groupBy("rid").agg(F.first("sig").alias("sig"))
     reps = sets.select("rid", "members").dropDuplicates(["rid"])
+    kin, tied, known = None, None, 0
+
+    def related(records: DataFrame) -> DataFrame:
+        if kin is None:
+            return records.select("rid", F.col("rid").alias("kin"), "sig")
+        return records.join(kin, "rid", "left").select("rid", F.coalesce("kin", "rid").alias("kin"), "sig")
+
+    if connected:
+        stars = written(_round(related(one), list(range(runs)), threshold, small, most, task_rows, stars=True), "stars")
+        tied = _verified(stars, reps, threshold)
+        drop_written(stars)
+        known = tied.count()
+        if known:
+            kin = written(components(tied.select(F.col("a").alias("id_a"), F.col("b").alias("id_b"))).select(F.col("doc_id").alias("rid"), F.col("group_id").alias("kin")), "kin")
     seen, near, r = [], None, 0
     while True:
         # Other coordinates in each round, so that a pair that is hard to find by one draw is not so by the next.
         records = written(reps.mapInArrow(_redrawn(r), "rid long, sig binary"), "signatures") if r else one
-        seen.append(written(_round(records, list(range(r * runs, (r + 1) * runs)), threshold, small, most, task_rows), "found"))
+        seen.append(written(_round(related(records), list(range(r * runs, (r + 1) * runs)), threshold, small, most, task_rows), "found"))
         before, near = near, _verified(functools.reduce(DataFrame.unionByName, seen), reps, threshold)
         drop_written(*([before] if before is not None else []), *([records] if r else []))
         total, once, twice = near.select(F.count("*"), F.count_if(F.col("found") == 1), F.count_if(F.col("found") == 2)).first()
         missed = once * once / (2 * twice) if twice else once * (once - 1) / 2
-        if total >= recall * (total + missed):
+        if total + known >= recall * (total + known + missed):
             break
         r += 1
     members = written(sets.select("rid", "doc_id").distinct(), "members")
-    drop_written(sets, *seen)
-    return members, near.select("a", "b", "jaccard")
+    drop_written(sets, *seen, *([kin] if kin is not None else []))
+    near = near.select("a", "b", "jaccard")
+    return members, near.unionByName(tied.select("a", "b", "jaccard")) if tied is not None else near
 
 
 def star_pairs(members: DataFrame, near: DataFrame) -> DataFrame:
@@ -372,6 +430,6 @@ def keep_one_per_group(docs: DataFrame, **options) -> DataFrame:
     The result has the columns and rows of docs otherwise, whatever their names; rows without a doc_id, and texts
     without a word, stay; rows that repeat a doc_id stay or go together; an empty table gives no rows.
     """
-    groups = components(star_pairs(*near_sets(docs, **options)))
+    groups = components(star_pairs(*near_sets(docs, connected=True, **options)))
     gone = groups.where("doc_id <> group_id").select(F.col("doc_id").cast(docs.schema["doc_id"].dataType).alias("doc_id"))
     return docs.join(gone, "doc_id", "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -29,6 +29,28 @@ def test_copies_are_joined_by_a_star(spark):
     assert {tuple(r) for r in jaccard.ngram_jaccard_classes(docs).collect()} == {(i, 0, 39) for i in range(40)} | {(50, 50, 0)}
 
 
+def test_a_group_alike_throughout_is_tied_together_in_proportion_to_its_sets(spark, monkeypatch):
+    rng = random.Random(14)
+    text = words(rng, 120, 5000).split()
+
+    def variant(i):
+        w = list(text)
+        for _ in range(2):
+            w[rng.randrange(len(w))] = f"v{i}x{rng.randrange(99)}"
+        return " ".join(w)
+
+    docs = spark.createDataFrame([(i, variant(i)) for i in range(150)] + [(200 + i, words(rng, 60, 5000)) for i in range(20)], DOC)
+    members, near = jaccard.near_sets(docs, connected=True)
+    assert near.count() < 8 * 150 and near.where("jaccard < 0.6").isEmpty()
+    every = jaccard.near_sets(docs)[1].select("a", "b").collect()
+    assert len(every) == 150 * 149 / 2
+    assert {r.doc_id for r in jaccard.keep_one_per_group(docs).collect()} == {0, *range(200, 220)}
+    # A home in many parts has the same pairs, each once.
+    monkeypatch.setattr(jaccard, "SETS", 20)
+    monkeypatch.setattr(jaccard, "VERIFIED", 500)
+    assert sorted(map(tuple, jaccard.near_sets(docs)[1].select("a", "b").collect())) == sorted(map(tuple, every))
+
+
 def test_labels_beyond_the_sample_choose_cutoffs(spark):
     rng = random.Random(13)
     good = [(i, ". ".join(words(rng, 12, 3000) for _ in range(6)) + ".", "en") for i in range(900)]
