@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marginalia.functions.errors import NoteError
-from marginalia.functions.text import ENDINGS, TOKEN, analyse, fold, reduce_word, terms, tokens, words
+from marginalia.functions.text import ENDINGS, TOKEN, analyse, fold, reduce_word, tokens, words
 from marginalia.operators import metadata
 
 K1, B = 1.2, 0.75
@@ -208,38 +208,163 @@ def token_table(notes: DataFrame) -> DataFrame:
     return notes.select("path", F.posexplode(words(F.col("content").cast("string"))).alias("pos", "raw")).select("path", "pos", "raw", reduced(F.col("raw")).alias("reduced"))
 
 
+@functools.cache
+def _inside():
+    """Which code points a token has."""
+    import numpy as np
+    import regex
+
+    inside = np.zeros(0x110000, bool)
+    for low, high in ((0, 0xD800), (0xE000, 0x110000)):
+        for m in regex.finditer(TOKEN, np.arange(low, high, dtype="<u4").tobytes().decode("utf-32-le")):
+            inside[low + m.start() : low + m.end()] = True
+    return inside
+
+
+class _Terms(dict):
+    """The number of a word; first and second have the numbers of the terms it is posted under, names the terms."""
+
+    #: Words that are kept from one piece of text to the next.
+    MOST = 200_000
+
+    def __init__(self, folded: bool):
+        self.folded, self.first, self.second, self.names, self.numbers = folded, [], [], [], {}
+
+    def _number(self, term: str) -> int:
+        n = self.numbers.setdefault(term, len(self.names))
+        if n == len(self.names):
+            self.names.append(term)
+        return n
+
+    def __missing__(self, word: str) -> int:
+        from marginalia.functions.text import plain
+
+        raw = word if self.folded else plain(word)
+        short = reduce_word(raw)
+        self.first.append(self._number(raw) if raw else -1)
+        self.second.append(self._number(short) if short and short != raw else -1)
+        self[word] = len(self.first) - 1
+        return self[word]
+
+
+def _posted(texts: list[str], terms: _Terms):
+    """(text, term, start, end) of every word of the texts under its one or two terms, by text, term and place, as arrays; texts and terms by number, places by byte."""
+    import numpy as np
+
+    if len(terms) > terms.MOST:
+        terms.clear()
+        terms.__init__(terms.folded)
+    whole = "\n".join(texts)
+    code = np.frombuffer(whole.encode("utf-32-le", "surrogatepass"), np.uint32)
+    flag = np.zeros(len(code) + 2, np.int8)
+    flag[1:-1] = _inside()[code]
+    edge = np.diff(flag)
+    start, end = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+    word = np.fromiter((terms[whole[a:b]] for a, b in zip(start.tolist(), end.tolist())), np.int64, len(start))
+    begin = np.cumsum([0] + [len(t) + 1 for t in texts])
+    text = np.searchsorted(begin, start, "right") - 1
+    first, second = (np.asarray(x, np.int64)[word] for x in (terms.first, terms.second))
+    n = max(1, len(start))
+    # One number for text, term and place in order: at most a piece's texts x MOST words' terms x a piece's words.
+    place = np.arange(len(start))
+    keys = [((text * len(terms.names) + t) * n + place)[t >= 0] for t in (first, second)]
+    order = np.sort(np.concatenate(keys))
+    key, place = np.divmod(order, n)
+    text, term = np.divmod(key, max(1, len(terms.names)))
+    size = 1 + (code > 0x7F) + (code > 0x7FF) + (code > 0xFFFF)
+    byte = np.append(0, np.cumsum(size, dtype=np.int64))
+    base = byte[begin[text]]
+    return text, term, byte[start[place]] - base, byte[end[place]] - base
+
+
+def _named(terms: _Terms, numbers):
+    """The terms of numbers, as an Arrow array."""
+    import numpy as np
+    import pyarrow as pa
+
+    own, at = np.unique(numbers, return_inverse=True)
+    return pa.array([terms.names[i] for i in own.tolist()], pa.string()).take(pa.array(at))
+
+
+def _groups(text, term):
+    """Where each text's each term begins in arrays ordered by them; one more offset at the end."""
+    import numpy as np
+
+    return np.append(np.flatnonzero(np.append(True, (text[1:] != text[:-1]) | (term[1:] != term[:-1]))), len(text)) if len(text) else np.zeros(1, np.int64)
+
+
 def postings(notes: DataFrame) -> DataFrame:
-    """(term, path, tf): every word under its one or two terms; counted before the one exchange, and after it."""
-    word = notes.select("path", F.explode(words(F.col("content").cast("string"))).alias("word"))
-    return word.select("path", F.explode(terms(F.col("word"))).alias("term")).groupBy("term", "path").agg(F.count("*").alias("tf"))
+    """(term, path, tf): every word under its one or two terms.
+
+    The texts are exchanged by path instead of their words, and counted text by text; rows that share a path are one note.
+    """
+
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        from marginalia.functions.batches import pieces
+
+        terms, held, at = _Terms(True), {}, None
+
+        def rest():
+            return pa.RecordBatch.from_arrays([pa.array(list(held), pa.string()), pa.array([at] * len(held), pa.string()), pa.array(list(held.values()), pa.int64())], ["term", "path", "tf"])
+
+        for piece in pieces(batches, "folded"):
+            paths = piece.column("path").to_pylist()
+            # Texts of one path are neighbours; the last path may go on, so what it has is held until another comes.
+            new = np.append(True, [a != b for a, b in zip(paths[1:], paths)]) if len(paths) > 1 else np.ones(1, bool)
+            note = np.cumsum(new) - 1
+            text, term, _, _ = _posted(piece.column("folded").to_pylist(), terms)
+            key, tf = np.unique(note[text] * max(1, len(terms.names)) + term, return_counts=True)
+            of, term = np.divmod(key, max(1, len(terms.names)))
+            if held and at != paths[0]:
+                yield rest()
+                held = {}
+            last = len(paths) and int(note[-1])
+            own = []
+            for number in sorted({0, last}):  # the first may be held from before, the last may go on
+                if number == last or held:
+                    mine = of == number
+                    counts = dict(zip([terms.names[i] for i in term[mine].tolist()], tf[mine].tolist()))
+                    if number == 0 and held:
+                        for t, n in held.items():
+                            counts[t] = counts.get(t, 0) + n
+                        held = {}
+                    own.append((number, counts))
+            for number, counts in own:
+                held, at = counts, paths[int(np.flatnonzero(note == number)[0])]
+                if number != last and held:
+                    yield rest()
+                    held = {}
+            between = ~np.isin(of, [number for number, _ in own])
+            if between.any():
+                path = piece.column("path").take(pa.array(np.flatnonzero(new)[of[between]]))
+                yield pa.RecordBatch.from_arrays([_named(terms, term[between]), path, pa.array(tf[between])], ["term", "path", "tf"])
+        if held:
+            yield rest()
+
+    texts = notes.select("path", fold(F.col("content").cast("string")).alias("folded")).where("folded IS NOT NULL")
+    return texts.repartition("path").sortWithinPartitions("path").mapInArrow(run, "term string, path string, tf long")
 
 
 def positions(notes: DataFrame) -> DataFrame:
     """(term, path, positions): byte offsets of every occurrence, in order, made note by note without a shuffle."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        import numpy as np
-        import regex
+    def run(batches):
+        import pyarrow as pa
 
-        from marginalia.functions.text import plain
+        from marginalia.functions.batches import pieces
 
-        word = regex.compile(TOKEN)
-        for pdf in batches:
-            for path, text in zip(pdf["path"], pdf["content"]):
-                if not isinstance(text, str):
-                    continue
-                code = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
-                at = np.append(0, np.cumsum(1 + (code > 0x7F) + (code > 0x7FF) + (code > 0xFFFF)))
-                found: dict[str, list[dict]] = {}
-                for m in word.finditer(text):
-                    raw = plain(m[0])
-                    place = {"start": int(at[m.start()]), "end": int(at[m.end()])}
-                    for t in {raw, reduce_word(raw)} - {""}:
-                        found.setdefault(t, []).append(place)
-                if found:
-                    yield pd.DataFrame({"term": list(found), "path": path, "positions": list(found.values())})
-
-    return notes.select("path", F.col("content").cast("string").alias("content")).mapInPandas(run, "term string, path string, positions array<struct<start:bigint,end:bigint>>")
+        terms = _Terms(False)
+        for piece in pieces(batches, "content"):
+            text, term, start, end = _posted(piece.column("content").to_pylist(), terms)
+            cut = _groups(text, term)
+            place = pa.StructArray.from_arrays([pa.array(start), pa.array(end)], ["start", "end"])
+            yield pa.RecordBatch.from_arrays([_named(terms, term[cut[:-1]]), piece.column("path").take(pa.array(text[cut[:-1]])), pa.ListArray.from_arrays(pa.array(cut, pa.int32()), place)], ["term", "path", "positions"])
+
+    texts = notes.select("path", F.col("content").cast("string").alias("content")).where("content IS NOT NULL")
+    return texts.mapInArrow(run, "term string, path string, positions array<struct<start:bigint,end:bigint>>")
 
 
 def lookup(index: DataFrame, term: str, path: str | None = None) -> DataFrame:
@@ -280,7 +405,8 @@ def update_postings(base: DataFrame, changed: DataFrame, gone: DataFrame | None
     paths = changed.select(key)
     if gone is not None:
         paths = paths.unionByName(gone.select(key))
-    return base.join(paths.distinct(), key, "left_anti").select(*base.columns).unionByName(changed.select(*base.columns))
+    # The changed paths are hashed in each partition; the index, which is far larger, need not be sorted.
+    return base.join(paths.distinct().hint("shuffle_hash"), key, "left_anti").select(*base.columns).unionByName(changed.select(*base.columns))
 
 
 def write_index(notes: DataFrame, folder: str, vault: str = "") -> None:

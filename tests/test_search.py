@@ -140,3 +140,28 @@ def test_texts_are_read_once(spark):
     rows.collect()
     plan = rows._jdf.queryExecution().executedPlan().toString()
     assert "ReusedExchange" in plan and "Python" not in plan
+
+
+def test_postings_are_counted_by_note_and_positions_in_pieces(spark, monkeypatch):
+    rng = random.Random(6)
+    pool = ["Ações", "ação", "luz", "É", "x😀y", "flores flor", "ß", "Ὀδυσσεύς", "a٣b", "co\u0301", "res ss is"]
+    rows = [(rng.choice(["a", "b", "c", None, f"n{i}"]), " ".join(rng.choices(pool, k=rng.randrange(0, 3000)))) for i in range(60)] + [("z", None), ("z", ""), ("y", "luz " * 400_000)]
+    df = spark.createDataFrame(rows, "path string, content string").coalesce(1)
+    want = {}
+    for path, text in rows:
+        for m in regex.finditer(TOKEN, text or ""):
+            for t in {plain(m[0]), reduce_word(plain(m[0]))} - {""}:
+                want[t, path] = want.get((t, path), 0) + 1
+    got = search.postings(df).collect()
+    assert len(got) == len(want) and {(r.term, r.path): r.tf for r in got} == want
+    # Words are not exchanged, texts are, once; and no batch is made of many texts' words at once.
+    plan = search.postings(df).groupBy("term").count()._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(path" in plan and "hashpartitioning(term" in plan and "hashpartitioning(term, path" not in plan and "Generate" not in plan
+    at = {(r.term, r.path): [(p.start, p.end) for p in r.positions] for r in search.positions(df.where("path LIKE 'n%'")).collect()}
+    brute_force = {}
+    for path, text in rows:
+        if path and path[0] == "n":
+            for m in regex.finditer(TOKEN, text):
+                for t in {plain(m[0]), reduce_word(plain(m[0]))} - {""}:
+                    brute_force.setdefault((t, path), []).append((len(text[: m.start()].encode()), len(text[: m.end()].encode())))
+    assert at and at == brute_force
