@@ -7,6 +7,7 @@ import functools
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from marginalia.functions.once import once
 from marginalia.functions.text import slug
 
 OK, MISSING, ANCHOR_MISSING, EXTERNAL = "ok", "target_missing", "anchor_missing", "external"
@@ -122,6 +123,7 @@ def graph(resolved: DataFrame, titles: DataFrame, start: str, direction: str = "
     broken = rows.where((F.col("state") == MISSING) & (F.col("target") != "")).select(F.col("from_path").alias("source"), F.col("target"), "kind", "ord", F.lit(True).alias("broken"))
     both = good.unionByName(broken) if include_broken else good
     every = both.groupBy("source", "target").agg(F.max(F.struct("ord", "kind")).alias("last"), F.min("broken").alias("broken")).select("source", "target", F.col("last.kind").alias("kind"), "broken")
+    every = once(every, "edges")  # each step reads them, and so does the result
     spark = resolved.sparkSession
     nodes = {start: 0}
     frontier, edges = [start], []

@@ -92,3 +92,11 @@ def test_doctor_and_totals(spark):
     df = make(spark, {"A.md": "x", "a.md": "y", "b.md": "#t"})
     assert tuple(metadata.doctor(df, "/r", 6).first()) == (3, 7, 3, 1)
     assert tuple(metadata.totals(df).first()) == (3, 0, 4, 1)
+
+
+def test_a_graph_resolves_links_once(spark):
+    df = make(spark, VAULT)
+    _, edges = links.graph(links.resolve(df), df, "Penal/PONTO 03.md", "both", 3, include_broken=False)
+    plan = edges._jdf.queryExecution().optimizedPlan().toString()
+    assert "MapInArrow" not in plan and "Aggregate [key" not in plan
+    assert {(r.source, r.target) for r in edges.collect()} >= {("Penal/PONTO 03.md", "Penal/PONTO 03.md"), ("Penal/x.md", "Penal/PONTO 03.md")}
