@@ -12,10 +12,10 @@ import pyarrow.compute as pc
 PIECE = 1 << 20
 
 
-def pieces(batches: Iterator[pa.RecordBatch], column: str, most: int = PIECE, rows: int = 2000) -> Iterator[pa.RecordBatch]:
-    """The batches cut into runs of so many rows, and so many bytes of a column, at most."""
+def pieces(batches: Iterator[pa.RecordBatch], *columns: str, most: int = PIECE, rows: int = 2000) -> Iterator[pa.RecordBatch]:
+    """The batches cut into runs of so many rows, and so many bytes of some columns, at most."""
     for batch in batches:
-        size = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False))
+        size = np.cumsum(sum(pc.fill_null(pc.binary_length(batch.column(c)), 0).to_numpy(zero_copy_only=False).astype(np.int64) for c in columns))
         at = 0
         while at < batch.num_rows:
             before = int(size[at - 1]) if at else 0

@@ -436,24 +436,25 @@ def raw_markdown(spark: SparkSession, d: str) -> DataFrame:
     return _table(spark, d, "documents").select("doc_id", F.expr("'m/' || doc_id || '.md'").alias("path"), F.expr(body).alias("content"), F.lit("2024-01-01").cast("timestamp").alias("mtime"))
 
 
-def markdown(spark: SparkSession, d: str) -> DataFrame:
+def markdown(spark: SparkSession, d: str, *columns: str) -> DataFrame:
+    """The parsed texts; of their columns only those named, if any are."""
     raw = raw_markdown(spark, d)
-    return source.parsed(raw.select("path", F.octet_length("content").cast("long").alias("size"), "mtime", F.col("content").cast("binary").alias("content")))
+    return source.parsed(raw.select("path", F.octet_length("content").cast("long").alias("size"), "mtime", F.col("content").cast("binary").alias("content")), list(columns) or None)
 
 
 @query(f"WITH {MARKDOWN} SELECT path, 'T' || doc_id AS title, CAST(2024 AS BIGINT) AS year, strlen(content) AS size, FALSE AS bom FROM md")
 def frontmatter_split(spark, d):
-    return markdown(spark, d).select("path", "title", F.try_variant_get(F.try_parse_json("frontmatter"), "$.year", "bigint").alias("year"), "size", "bom")
+    return markdown(spark, d, "path", "title", "frontmatter", "size", "bom").select("path", "title", F.try_variant_get(F.try_parse_json("frontmatter"), "$.year", "bigint").alias("year"), "size", "bom")
 
 
 @query(f"WITH {MARKDOWN} SELECT path, unnest(list_sort([source, 'lang/' || lang, 'own/x' || (doc_id % 3)])) AS tag FROM md")
 def parse_tags(spark, d):
-    return markdown(spark, d).select("path", F.explode("tags").alias("tag"))
+    return markdown(spark, d, "path", "tags").select("path", F.explode("tags").alias("tag"))
 
 
 @query(f"WITH {MARKDOWN} SELECT path, unnest(['a' || doc_id, 'b']) AS alias FROM md")
 def parse_aliases(spark, d):
-    return markdown(spark, d).select("path", F.explode("aliases").alias("alias"))
+    return markdown(spark, d, "path", "aliases").select("path", F.explode("aliases").alias("alias"))
 
 
 _HEADS = f"""{MARKDOWN}, o AS (SELECT *, strpos(content, chr(10) || '# Head') AS a, strpos(content, chr(10) || '## Part') AS b, strpos(content, chr(10) || '# Tail') AS c, strpos(content, chr(10) || '### Deep') AS e FROM md),
@@ -463,45 +464,45 @@ h AS (SELECT path, content, 1 AS level, 'Head ' || doc_id AS text, a AS start, c
 
 @query(f'WITH {_HEADS} SELECT path, CAST(level AS INTEGER) AS level, text, lower(text) AS slug, start, "end", body_start FROM h')
 def headings_extract(spark, d):
-    return markdown(spark, d).select("path", F.inline("headings"))
+    return markdown(spark, d, "path", "headings").select("path", F.inline("headings"))
 
 
 @query(f'WITH {_HEADS} SELECT path, text, content[start + 1 : "end"] AS section FROM h')
 def section_ranges(spark, d):
     from marginalia.functions.text import byte_slice
 
-    return markdown(spark, d).select("path", "content", F.inline("headings")).select("path", "text", byte_slice(F.col("content"), F.col("start"), F.col("end")).alias("section"))
+    return markdown(spark, d, "path", "headings", "content").select("path", "content", F.inline("headings")).select("path", "text", byte_slice(F.col("content"), F.col("start"), F.col("end")).alias("section"))
 
 
 @query(f"""WITH {MARKDOWN} SELECT path, CAST(0 AS INTEGER) AS ord, 'n' || (doc_id % 7) AS target, 'Part' AS anchor, 'see' AS alias, 'wikilink' AS kind, CAST(strpos(content, '[[n') - 1 AS BIGINT) AS start FROM md
  UNION ALL SELECT path, 1, 't ' || (doc_id % 4) || '.md', '', 'm', 'markdown', strpos(content, '[m]') - 1 FROM md UNION ALL SELECT path, 2, 'i.png', '', '', 'embed', strpos(content, '![[') - 1 FROM md""")
 def parse_links(spark, d):
-    return links.exploded(markdown(spark, d)).select(F.col("from_path").alias("path"), "ord", "target", "anchor", "alias", "kind", "start")
+    return links.exploded(markdown(spark, d, "path", "links")).select(F.col("from_path").alias("path"), "ord", "target", "anchor", "alias", "kind", "start")
 
 
 @query(f"WITH {MARKDOWN} SELECT path, 'key' AS key, 'v' || (doc_id % 5) AS value FROM md UNION ALL SELECT path, 'mood', 'm' || (doc_id % 3) FROM md")
 def inline_fields(spark, d):
-    return markdown(spark, d).select("path", F.explode("inline").alias("key", "values")).select("path", "key", F.explode("values").alias("value"))
+    return markdown(spark, d, "path", "inline").select("path", F.explode("inline").alias("key", "values")).select("path", "key", F.explode("values").alias("value"))
 
 
 @query(f"WITH {MARKDOWN} SELECT path, 'blk' || doc_id AS id, CAST(strpos(content, '[[n') - 1 AS BIGINT) AS start, CAST(strpos(content, '^blk') + length('^blk' || doc_id) - 1 AS BIGINT) AS \"end\" FROM md")
 def block_ids(spark, d):
-    return markdown(spark, d).select("path", F.inline("blocks"))
+    return markdown(spark, d, "path", "blocks").select("path", F.inline("blocks"))
 
 
 @query(f'WITH {_HEADS} SELECT path, start, "end", body_start, content[start + 1 : "end"] AS section, CAST(NULL AS VARCHAR) AS problem FROM h WHERE text = \'Part\'')
 def read_section(spark, d):
-    return edit.section(markdown(spark, d), "part")
+    return edit.section(markdown(spark, d, "path", "headings", "content"), "part")
 
 
 @query(f"WITH {_HEADS} SELECT path, content[1 : \"end\"] || 'new' || chr(10) || 'line' || chr(10) || content[\"end\" + 1 :] AS content FROM h WHERE text = 'Part'")
 def append_section(spark, d):
-    return edit.append_to_section(markdown(spark, d), "Part", "new\r\nline")
+    return edit.append_to_section(markdown(spark, d, "path", "headings", "content"), "Part", "new\r\nline")
 
 
 @query(f"WITH {_HEADS} SELECT path, content[1 : body_start] || 'other' || chr(10) || content[\"end\" + 1 :] AS content FROM h WHERE text = 'Part'")
 def patch_section(spark, d):
-    return edit.patch_section(markdown(spark, d), "Part", "other")
+    return edit.patch_section(markdown(spark, d, "path", "headings", "content"), "Part", "other")
 
 
 @query(f"WITH {NOTES} SELECT path, CASE WHEN content = '' OR suffix(content, chr(10)) THEN content ELSE content || CASE WHEN contains(content, chr(13) || chr(10)) THEN chr(13) || chr(10) ELSE chr(10) END END || 'end' || CASE WHEN contains(content, chr(13) || chr(10)) THEN chr(13) || chr(10) ELSE chr(10) END AS content FROM notes")

@@ -11,6 +11,8 @@ from datetime import UTC, datetime
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from marginalia.functions.errors import NoteError
 from marginalia.operators.metadata import check_path
@@ -21,6 +23,7 @@ TEMPORARY = ".marginalia-tmp-"
 _HEADING = "struct<level:int,text:string,slug:string,start:bigint,end:bigint,body_start:bigint>"
 _LINK = "struct<ord:int,raw:string,target:string,alias:string,anchor:string,kind:string,start:bigint,end:bigint>"
 PARSED = f"title string, frontmatter string, frontmatter_err string, tags array<string>, aliases array<string>, headings array<{_HEADING}>, blocks array<struct<id:string,start:bigint,end:bigint>>, links array<{_LINK}>, inline map<string,array<string>>"
+PARTS = ("title", "frontmatter", "frontmatter_err", "tags", "aliases", "headings", "blocks", "links", "inline")
 NOTE = f"path string, size long, mtime timestamp, hash string, eol string, bom boolean, {PARSED}, content string"
 
 
@@ -119,25 +122,39 @@ def files(spark: SparkSession, root: str) -> DataFrame:
     return listed.withColumn("class", classify(F.col("path"))).where("class IS NOT NULL")
 
 
-def parsed(rows: DataFrame) -> DataFrame:
-    """Notes of rows (path, size, mtime, content BINARY), parsed batch by batch without a shuffle; extra columns are dropped."""
+def parsed(rows: DataFrame, columns: list[str] | None = None) -> DataFrame:
+    """Notes of rows (path, size, mtime, content BINARY), parsed piece by piece without a shuffle; extra columns are dropped.
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    columns: those of NOTE to make, all by default; what none of them needs is neither parsed nor sent.
+    """
+    types = dict(x.split(" ", 1) for x in NOTE.split(", "))
+    columns = list(types) if columns is None else columns
+    given = [c for c in ("path", "size", "mtime") if c in columns]
+    rows = rows.select(*given, "content").where("content IS NOT NULL")
+    if set(columns) <= {*given, "content"}:
+        return rows.withColumn("content", F.make_valid_utf8(F.col("content").cast("string"))).select(*columns)
+    kinds = {f.name: f.type for f in to_arrow_schema(StructType.fromDDL(", ".join(f"{c} {types[c]}" for c in columns)))}
+
+    def run(batches):
+        import pyarrow as pa
+
+        from marginalia.functions.batches import pieces
         from marginalia.sources.markdown import BOM, as_row
 
-        for pdf in batches:
-            out = []
-            for path, size, mtime, content in zip(pdf["path"], pdf["size"], pdf["mtime"], pdf["content"]):
-                if content is None:
-                    continue
-                raw = bytes(content)
-                out.append({"path": path, "size": size, "mtime": mtime, "hash": hash64(raw), "eol": "\r\n" if b"\r\n" in raw else "\n", "bom": raw.startswith(BOM)} | as_row(path, raw) | {"content": raw.decode("utf-8", "replace")})
-            if out:
-                made = pd.DataFrame(out)
-                made["inline"] = [dict(x) for x in made["inline"]]
-                yield made
-
-    return rows.select("path", "size", "mtime", "content").mapInPandas(run, NOTE)
+        own = [c for c in columns if c in PARTS]
+        for batch in pieces(batches, "content", rows=500):
+            raws = batch.column("content").to_pylist()
+            made = {c: batch.column(c) for c in given}
+            parts = [as_row("", raw, own) for raw in raws]
+            for c in own:
+                made[c] = pa.array([x[c] for x in parts], kinds[c])
+            del parts
+            for c, of in (("hash", hash64), ("eol", lambda raw: "\r\n" if b"\r\n" in raw else "\n"), ("bom", lambda raw: raw.startswith(BOM)), ("content", lambda raw: raw.decode("utf-8", "replace"))):
+                if c in columns:
+                    made[c] = pa.array([of(raw) for raw in raws], kinds[c])
+            yield pa.RecordBatch.from_arrays([made[c] for c in columns], columns)
+
+    return rows.mapInArrow(run, ", ".join(f"{c} {types[c]}" for c in columns))
 
 
 def notes(spark: SparkSession, root: str, listed: DataFrame | None = None) -> DataFrame:

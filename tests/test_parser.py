@@ -1,7 +1,12 @@
 import json
+import time
 
+import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
+from marginalia.functions.batches import pieces
+from marginalia.sources import vault
 from marginalia.sources.markdown import as_row, headings, parse, split_frontmatter
 
 
@@ -78,3 +83,34 @@ def test_inline_fields():
 @pytest.mark.parametrize("raw", [b"", b"\xff\xfe\x00", b"---\n", b"[" * 3000, b"> " * 400 + b"x", b"`" * 999, ("é" * 100_000).encode(), b"- " * 300 + b"[[a]]"])
 def test_odd_texts_do_not_fail(raw):
     json.dumps(as_row("p", raw), default=str)
+
+
+ODD = [b"", b"\xff\xfe\x00", b"\xe2\x82 x \xf0\x9f\x98", b"\xed\xa0\x80", "\ufeff# H\r\ntext #t ^b\r\n".encode(), b"---\ntitle: T\naliases: a\n---\n# A\n[[x]]\n", b"a\rb\n# C\r\n", b"---\ntitle: 3\n---\n## B\n# D", None]
+
+
+def test_some_columns_are_those_of_all(spark):
+    rows = [(f"p{i}", len(t or b""), t) for i, t in enumerate(ODD)]
+    raw = spark.createDataFrame(rows, "path string, size long, content binary").withColumn("mtime", F.lit("2024-01-01").cast("timestamp"))
+    whole = {r.path: r for r in vault.parsed(raw).collect()}
+    assert len(whole) == len(ODD) - 1 and all(whole[p].content == t.decode("utf-8", "replace") for p, _, t in rows if t is not None)
+    for columns in (["path", "content"], ["path", "title", "bom"], ["path", "headings", "content"], ["path", "blocks"], ["path", "tags", "aliases", "links", "inline"], ["path", "hash", "eol", "mtime", "size"]):
+        some = vault.parsed(raw, columns)
+        assert some.columns == columns
+        assert {r.path: r for r in some.collect()} == {p: type(r)(**{c: r[c] for c in columns}) for p, r in whole.items()}
+    plan = lambda *c: vault.parsed(raw, list(c))._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" in plan("path", "headings") and "Python" not in plan("path", "content")
+
+
+def test_texts_are_worked_on_in_pieces():
+    sizes = [10, 2_000_000, 5, 5, None, 700_000, 400_000, 1] + [1] * 1200
+    batch = pa.RecordBatch.from_arrays([pa.array([None if n is None else b"x" * n for n in sizes], pa.binary())], ["content"])
+    got = [p.column("content").to_pylist() for p in pieces([batch, batch.slice(0, 0)], "content", most=1_000_000, rows=500)]
+    assert sum(got, []) == batch.column("content").to_pylist()
+    assert all(len(p) <= 500 and (len(p) == 1 or sum(len(x or b"") for x in p) <= 1_000_000) for p in got)
+
+
+def test_long_paragraphs_take_linear_time():
+    raw = b"a: b\n" * 40_000
+    began = time.process_time()
+    parse(raw)
+    assert time.process_time() - began < 10
