@@ -12,6 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from marginalia.functions.once import once
 from marginalia.functions.text import analyse, reduced, slug, words
 from marginalia.operators import edit, links, metadata, search
 from marginalia.sources import vault as source
@@ -517,10 +518,10 @@ def read_range(spark, d):
 
 @query(f"WITH {MARKDOWN} SELECT path, replace(content, '[[n3#', '[[moved#') AS content, CAST(1 AS INTEGER) AS links FROM md WHERE doc_id % 7 = 3")
 def rewrite_links(spark, d):
-    md = markdown(spark, d)
-    own = md.where("path IN ('m/3.md')").select(F.lit("n3.md").alias("path"), "aliases", "headings", "blocks")
-    known = own.unionByName(md.select("path", "aliases", "headings", "blocks"))
-    return edit.rewrite_links(md, links.resolve(known, None, links.exploded(md)), "n3.md", "m/moved.md")
+    parts = once(markdown(spark, d, "path", "aliases", "headings", "blocks", "links"), "parts")
+    own = parts.where("path IN ('m/3.md')").select(F.lit("n3.md").alias("path"), "aliases", "headings", "blocks")
+    known = own.unionByName(parts.select("path", "aliases", "headings", "blocks"))
+    return edit.rewrite_links(markdown(spark, d, "path", "content"), links.resolve(known, None, links.exploded(parts)), "n3.md", "m/moved.md")
 
 
 _DIFF = r"'--- a/m/' || doc_id || '.md~+++ b/m/' || doc_id || '.md~@@ -9,11 +9,7 @@~ [[n' || (doc_id % 7) || '#Part|see]] #own/x' || (doc_id % 3) || ' ^blk' || doc_id || '~ ~ ## Part~-~-' || (doc_id % 10) || ' words~-~-key:: v' || (doc_id % 5) || '~-~+other~ # Tail~ ~ [m](t%20' || (doc_id % 4) || '.md) ![[i.png]]~'"
