@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from marginalia.functions.batches import pieces
 from marginalia.functions.diff import unified
 from marginalia.functions.errors import NoteError
 from marginalia.functions.text import byte_slice, slug_of
@@ -87,12 +88,13 @@ def append_to_end(notes: DataFrame, text: str) -> DataFrame:
 def diffs(before: DataFrame, after: DataFrame, context: int = 3) -> DataFrame:
     """(path, diff) of notes whose (path, content) differ; '' as the old or new text where a side has none."""
 
-    @F.pandas_udf("string")
-    def diff(path: pd.Series, old: pd.Series, new: pd.Series) -> pd.Series:
-        return pd.Series([unified(f"a/{p}", f"b/{p}", a or "", b or "", context) for p, a, b in zip(path, old, new)])
+    def run(batches):
+        for piece in pieces(batches, "old", "new", rows=500):
+            made = [unified(f"a/{p}", f"b/{p}", a, b, context) for p, a, b in zip(*(piece.column(c).to_pylist() for c in ("path", "old", "new")))]
+            yield pa.RecordBatch.from_arrays([piece.column("path"), pa.array(made, pa.string())], ["path", "diff"])
 
     both = before.select("path", F.col("content").alias("old")).join(after.select("path", F.col("content").alias("new")), "path", "full").where(~F.col("old").eqNullSafe(F.col("new")))
-    return both.select("path", diff("path", F.coalesce("old", F.lit("")), F.coalesce("new", F.lit(""))).alias("diff"))
+    return both.select("path", F.coalesce("old", F.lit("")).alias("old"), F.coalesce("new", F.lit("")).alias("new")).mapInArrow(run, "path string, diff string")
 
 
 # Single notes, as bytes.
@@ -206,12 +208,14 @@ def rewrite_links(notes: DataFrame, resolved: DataFrame, old: str, new: str) ->
     """
     kind = notes.schema["content"].dataType.simpleString()
 
-    @F.pandas_udf(kind)
-    def rewrite(content: pd.Series, own: pd.Series) -> pd.Series:
-        def one(c, links):
-            made = rewritten(c.encode() if isinstance(c, str) else bytes(c), [(dict(x), new_target(x, new)) for x in links])
-            return made.decode() if isinstance(c, str) else made
+    def one(c, links):
+        made = rewritten(c.encode() if isinstance(c, str) else c, [(x, new_target(x, new)) for x in links])
+        return made.decode() if isinstance(c, str) else made
 
-        return pd.Series([one(c, links) for c, links in zip(content, own)])
+    def run(batches):
+        for piece in pieces(batches, "content", rows=500):
+            own = piece.column("own").to_pylist()
+            made = [one(c, links) for c, links in zip(piece.column("content").to_pylist(), own)]
+            yield pa.RecordBatch.from_arrays([piece.column("path"), pa.array(made, piece.column("content").type), pa.array([len(x) for x in own], pa.int32())], ["path", "content", "links"])
 
-    return notes.select("path", "content").join(links_to(resolved, old), "path").select("path", rewrite("content", "own").alias("content"), F.size("own").alias("links"))
+    return notes.select("path", "content").join(links_to(resolved, old), "path").select("path", "content", "own").mapInArrow(run, f"path string, content {kind}, links int")

@@ -530,8 +530,7 @@ _DIFF = r"'--- a/m/' || doc_id || '.md~+++ b/m/' || doc_id || '.md~@@ -9,11 +9,7
 @query(f"SELECT 'm/' || doc_id || '.md' AS path, replace({_DIFF}, '~', chr(10)) AS diff FROM documents")
 def unified_diff(spark, d):
     """The differences that patch_section makes."""
-    md = markdown(spark, d)
-    return edit.diffs(md, edit.patch_section(md, "Part", "other"))
+    return edit.diffs(markdown(spark, d, "path", "content"), edit.patch_section(markdown(spark, d, "path", "headings", "content"), "Part", "other"))
 
 
 @query(r"""WITH p AS (SELECT p_partkey, CASE p_partkey % 8 WHEN 0 THEN 'a/' || p_partkey || '.md' WHEN 1 THEN '.Git/' || p_partkey || '.md' WHEN 2 THEN p_partkey || '.PNG' WHEN 3 THEN 'x/~$' || p_partkey || '.md' WHEN 4 THEN p_partkey || '.tmp' WHEN 5 THEN '../' || p_partkey || '.md' WHEN 6 THEN '/abs/' || p_partkey || '.pdf' ELSE '_h/.' || p_partkey || '.md' END AS path FROM part)

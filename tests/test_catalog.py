@@ -38,3 +38,10 @@ def test_query_equals_sql(spark, con, name):
     want = sorted((tuple(plain(v) for _, v in sorted(zip(names, r))) for r in cur.fetchall()), key=repr)
     got = sorted((tuple(plain(r[c]) for c in sorted(df.columns)) for r in rows), key=repr)
     assert got == want
+
+
+def test_texts_are_parsed_once_and_changed_in_pieces(spark):
+    plan = lambda name: catalog.queries()[name](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    # What is left in the plans: the rewriting of the notes; the parse that makes the patch, and the differences.
+    assert plan("rewrite_links").count("MapInArrow") == 1 and plan("unified_diff").count("MapInArrow") == 2
+    assert not any(p in plan(n) for n in ("rewrite_links", "unified_diff", "patch_section", "block_ids") for p in ("MapInPandas", "ArrowEvalPython"))
